@@ -87,7 +87,8 @@ def ms_of(t: datetime) -> int:
 def parse_bound(text: str) -> tuple[str, datetime]:
     """A query bound, ULID first and then RFC 3339: the ULID and its time. ValueError if neither."""
     if _STRICT.match(text):
-        return text, datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=decode_ms(text))
+        # identifiers go on to the year 10889, times of this type to 9999
+        return text, datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=min(decode_ms(text), 253_402_300_799_999))
     t = parse_time(text)
     return encode_ms(ms_of(t)) + "0" * 16, t
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions import ulid as U
 
@@ -63,7 +64,7 @@ def rolled(index: DataFrame, group: list[str], order: str, size: str, target: in
 
     keys = [index.columns.index(g) for g in group]
     at = index.columns.index(size)
-    schema = index.schema.add("roll", "bigint")
+    schema = T.StructType([*index.schema.fields, T.StructField("roll", T.LongType())])
 
     def apply(batches):
         key, filled, roll = None, 0, 0
