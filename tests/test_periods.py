@@ -1,0 +1,79 @@
+import random
+
+import numpy as np
+import pytest
+
+from tidelog.functions.ulid import encode_ms
+from tidelog.operators import periods as P
+
+SCHEMA = "entity string, low string, high string"
+
+
+def brute(rows):
+    by, out = {}, set()
+    for e, a, b in rows:
+        if None not in (e, a, b):
+            by.setdefault(e, []).append((min(a, b), max(a, b)))
+    for e, spans in by.items():
+        spans.sort()
+        joined = [list(spans[0])]
+        for a, b in spans[1:]:
+            if a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        out |= {(e, "period", a, b) for a, b in joined} | {(e, "gap", x[1], y[0]) for x, y in zip(joined, joined[1:])}
+    return out
+
+
+def check(spark, rows, shard_ms=P.SHARD_MS, parts=3):
+    got = [tuple(r) for r in P.periods(spark.createDataFrame(rows, SCHEMA).repartition(parts), shard_ms).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def u(ms, tail="0"):
+    return encode_ms(ms) + tail * 16
+
+
+@pytest.mark.parametrize("shard_ms", [10, 1000, 1 << 30])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random(spark, seed, shard_ms):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        a = rng.randrange(3000)
+        b = a + rng.choice([0, 1, 3, 9, 10, 11, 25, 400 if rng.random() < 0.05 else 2])
+        e = "hot" if rng.random() < 0.34 else rng.choice("abcdefgh")
+        low, high = u(a, rng.choice("0AZ")), u(b, rng.choice("0AZ"))
+        rows.append((e, high, low) if rng.random() < 0.2 else (e, low, high))
+    check(spark, rows, shard_ms)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [],
+        [("a", u(5), u(5))],
+        [("a", u(5), u(5))] * 3,
+        [("a", u(10), u(20)), ("a", u(20), u(30))],  # they share an end
+        [("a", u(10), u(20)), ("a", u(20, "1"), u(30))],  # next to each other, not touching
+        [("a", u(9), u(10)), ("a", u(10), u(11)), ("b", u(10), u(10))],  # where a shard begins
+        [("a", u(0), u(9, "Z")), ("a", u(10), u(19, "Z"))],
+        [("a", u(1), u(95)), ("a", u(12), u(13)), ("a", u(50), u(51)), ("a", u(97), u(99))],  # shards within
+        [("a", u(1), u(35)), ("a", u(28), u(75)), ("a", u(76), u(77))],
+        [(None, u(1), u(2)), ("a", None, u(2)), ("a", u(1), None), ("b", u(1), u(2))],
+    ],
+)
+def test_edges(spark, rows):
+    check(spark, rows, 10)
+
+
+def test_extra_columns(spark):
+    d = spark.createDataFrame([("a", u(1), u(2), "x", 1, 2)], SCHEMA + ", kind string, shard int, p int")
+    assert [tuple(r) for r in P.periods(d).collect()] == [("a", "period", u(1), u(2))]
+
+
+def test_run_bitmap():
+    s = lambda *x: np.array(x, "S2")
+    g, a, b = P.run_bitmap(np.array([1, 0, 1, 1]), s("c", "a", "a", "e"), s("d", "z", "c", "e"))
+    assert list(zip(g.tolist(), a.tolist(), b.tolist())) == [(0, b"a", b"z"), (1, b"a", b"d"), (1, b"e", b"e")]

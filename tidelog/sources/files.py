@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidelog.functions import ulid as U
 from tidelog.operators import segments
 
+# Fixed value: the name of a segment file.
+NAME = r"^[0-7][0-9A-HJKMNP-TV-Z]{25}-[0-7][0-9A-HJKMNP-TV-Z]{25}\.[a-z]+\z"
+
 
 def take_apart(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines as records: ulid, ts_ms, topic, payload, body, raw, and bad (true: shorter than an identifier and a space, or no ULID)."""
@@ -31,12 +34,12 @@ def read(spark: SparkSession, folder: str, low: str | None = None, high: str | N
     """
     d = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder)
     name = F.col("_metadata.file_name")
-    if low is not None or high is not None:
-        # a comparison of the file's name alone, so that files are skipped before they are opened
-        if high is not None:
-            d = d.where(F.substring(name, 1, 26) <= high)
-        if low is not None:
-            d = d.where(F.substring(name, 28, 26) >= low)
+    # conditions on the file's name alone, so that files are skipped before they are opened
+    d = d.where(name.rlike(NAME))
+    if high is not None:
+        d = d.where(F.substring(name, 1, 26) <= high)
+    if low is not None:
+        d = d.where(F.substring(name, 28, 26) >= low)
     d = take_apart(d.select("value", name.alias("segment"), F.col("_metadata.file_size").alias("segment_bytes"))).drop("value")
     if low is not None:
         d = d.where(F.col("bad") | (F.col("ulid") >= low))

@@ -36,7 +36,7 @@ class LastWins(StatefulProcessor):
         self.handle = handle
         self.line = handle.getValueState("line", "body string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = None
         for batch in rows:
             top = batch.sort_values("arrival", kind="stable").iloc[-1]
@@ -47,10 +47,10 @@ class LastWins(StatefulProcessor):
             self.line.update((last.body,))
             if fresh:
                 due = U.decode_ms(key[0]) + self.window_ms
-                self.handle.registerTimer(due if self.event_time else max(due, timers.getCurrentProcessingTimeInMs() + 1))
+                self.handle.registerTimer(due if self.event_time else max(due, timerValues.getCurrentProcessingTimeInMs() + 1))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.line.get()
         self.line.clear()
         yield pd.DataFrame({"ulid": [key[0]], "body": [held[0]]})
