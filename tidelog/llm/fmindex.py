@@ -21,7 +21,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(ahead):
         key <<= bits
-        key[: n - k] |= s[k:].astype(np.int64) + 1
+        if k < n:
+            key[: n - k] |= s[k:].astype(np.int64) + 1
     sa = np.argsort(key, kind="stable")
     key = key[sa]
     new = np.ones(n, bool)
