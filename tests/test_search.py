@@ -135,3 +135,17 @@ def test_roll(spark):
 def test_generator(spark):
     d = ingest.generated(spark, 50, "7", 120).collect()
     assert len(d) == 50 and all(len(r.value) == 120 for r in d) and d[5].value.startswith("1970-01-01T00:00:01Z 7 000000005 ")
+
+
+def test_accounting_and_functions(spark):
+    d, o = search.accounted(records(spark, [(u(2), "bb"), (u(1), "a"), (u(3), "é")]))
+    assert d.count() == 3 and o.get == {"low": u(1), "high": u(3), "n_records": 3, "n_bytes": 3 * 28 + 5}
+    U.register(spark)
+    r = spark.sql("select ulid_ms('01BC3NABW20000000000000000') as ms, cast(ulid_ts('01BC3NABW20000000000000000') as string) as ts").first()
+    assert (r.ms, r.ts) == (1490476674946, "2017-03-25 21:17:54.946")
+
+
+def test_changed_sets(spark):
+    a, b = (spark.createDataFrame([(x,) for x in t], "k string") for t in ("abc", "bcd"))
+    came, went = search.changed_sets(a, b, "k")
+    assert [r.k for r in came.collect()] == ["d"] and [r.k for r in went.collect()] == ["a"]

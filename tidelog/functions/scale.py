@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import uuid
 
@@ -15,7 +16,26 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         base = "file:///tmp/tidelog-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+@atexit.register
+def release() -> None:
+    """Delete all tables that this process has put into the shared folder; frames that read them can't be used after it."""
+    import pyarrow.fs as pafs
+
+    while _made:
+        try:
+            fs, path = pafs.FileSystem.from_uri(_made.pop())
+            if fs.get_file_info(path).type == pafs.FileType.Directory:
+                fs.delete_dir(path)
+        except (OSError, ValueError):  # what can't be deleted here is left to the folder's owner
+            pass
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20, blow_up: float = 1.0) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.functions import regex
@@ -123,3 +123,15 @@ WINDOWS = {"5m": 300, "15m": 900, "1h": 3600, "12h": 43_200, "1d": 86_400, "3d":
 
 def window_seconds(name: str) -> int:
     return WINDOWS.get(name, WINDOWS["1h"])
+
+
+def accounted(records: DataFrame, name: str = "account"):
+    """records, and an Observation of them: when they have been written it holds low, high, n_records and n_bytes, without a second pass."""
+    o = Observation(name)
+    size = F.octet_length("ulid") + F.octet_length("body") + 2
+    return records.observe(o, F.min("ulid").alias("low"), F.max("ulid").alias("high"), F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes")), o
+
+
+def changed_sets(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Members of new that old lacks, and of old that new lacks."""
+    return new.join(old, key, "left_anti"), old.join(new, key, "left_anti")

@@ -117,21 +117,35 @@ def islands(index: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def first_sequential(index: DataFrame, key: str, size: str, target: int, least: int = 2) -> DataFrame:
-    """The first run of segments, in order of low end, that fit the target together and are `least` or more (key, position).
+    """The first run of segments, in order of low end, that fit the target together and are `least` or more (position, key).
 
-    A segment that doesn't fit ends the run if it is long enough; else a new one begins, with it if it fits alone. The order makes
-    this one fold over the index (names and sizes, no records).
+    A segment that doesn't fit ends the run if it is long enough; else a new one begins, with it if it fits alone. What a segment
+    does depends on all before it, so this is one pass in order over the index (names and sizes, no records), streamed: only the
+    run in hand is held, and nothing is read past its end. Null sizes count as 0.
     """
-    files = index.agg(F.sort_array(F.collect_list(F.struct("low", F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")))).alias("files"))
-    state = "struct<keys: array<string>, total: bigint, done: boolean>"
-    fold = f"""aggregate(files, cast(named_struct('keys', array(), 'total', 0L, 'done', false) as {state}), (s, f) ->
-        case when s.done then s
-             when s.total + f.size <= {target} then named_struct('keys', concat(s.keys, array(cast(f.key as string))), 'total', s.total + f.size, 'done', false)
-             when size(s.keys) >= {least} then named_struct('keys', s.keys, 'total', s.total, 'done', true)
-             when f.size <= {target} then named_struct('keys', array(cast(f.key as string)), 'total', f.size, 'done', false)
-             else cast(named_struct('keys', array(), 'total', 0L, 'done', false) as {state}) end,
-        s -> if(size(s.keys) >= {least}, s.keys, cast(array() as array<string>)))"""
-    return files.select(F.posexplode(F.expr(fold)).alias("position", key))
+    import pyarrow as pa
+
+    def apply(batches):
+        run, total = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(range(len(run)), pa.int32()), pa.array(run, pa.string())], ["position", key])
+
+        for b in batches:
+            for name, n in zip(b.column("key").to_pylist(), b.column("size").to_pylist()):
+                if total + n <= target:
+                    run.append(name)
+                    total += n
+                elif len(run) >= least:
+                    yield out()
+                    return
+                else:
+                    run, total = ([name], n) if n <= target else ([], 0)
+        if len(run) >= least:
+            yield out()
+
+    d = index.select("low", F.col(key).cast("string").alias("key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
+    return d.repartition(1).sortWithinPartitions("low", "key").mapInArrow(apply, f"position int, {key} string")
 
 
 def expired(index: DataFrame, oldest_ms: int) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import regex
 from tidelog.functions import ulid as U
+from tidelog.functions.scale import shared_dir
 from tidelog.operators import ingest, search, segments
 from tidelog.operators.search import LogQuery
-from tidelog.sources.tables import document_lines, event_records, table
+from tidelog.sources.tables import document_lines, event_records, event_ulid, table
+from tidelog.streaming import tail
 
 FROM, TO = "2024-01-05T00:00:00Z", "2024-01-20T12:00:00.500Z"
 RANGE = LogQuery(FROM, TO)
+PACK_BYTES, ROLL_BYTES = 5_000, 15_000
 OLDEST_MS = 1_704_844_800_000  # 2024-01-10
 
 
@@ -142,8 +144,7 @@ def merge_accounting(spark: SparkSession, folder: str) -> DataFrame:
 
 def tail_last_wins(spark: SparkSession, folder: str) -> DataFrame:
     """The tail's rule in batch form: of copies, the one that came last."""
-    c = copies(spark, folder).withColumn("arrival", F.col("src") * 2 - F.when(F.col("ulid") % 2 == 0, 0).otherwise(0))
-    return search.last_arrival(c.select("ulid", "body", "arrival")).select("ulid", "body")
+    return search.last_arrival(copies(spark, folder).withColumnRenamed("src", "arrival")).select("ulid", "body")
 
 
 # --- segments -------------------------------------------------------------------------------------------------------
@@ -203,14 +204,13 @@ def segment_islands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_bin_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments that are put together first, in order, up to a tenth of all bytes."""
-    i = lane_index(spark, folder)
-    return segments.first_sequential(i, "segment", "size_bytes", 20_000).select("position", "segment")
+    """Segments that are put together first, in order."""
+    return segments.first_sequential(lane_index(spark, folder), "segment", "size_bytes", PACK_BYTES).select("position", "segment")
 
 
 def segment_roll(spark: SparkSession, folder: str) -> DataFrame:
     """Files that each lane's segments are rolled into."""
-    return ingest.rolled(lane_index(spark, folder).select("lane", "segment", "low", "size_bytes"), ["lane"], "low", "size_bytes", 15_000).select("segment", "roll")
+    return ingest.rolled(lane_index(spark, folder).select("lane", "segment", "low", "size_bytes"), ["lane"], "low", "size_bytes", ROLL_BYTES).select("segment", "roll")
 
 
 def segment_state(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,6 +297,37 @@ def logs_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("user_id", F.unix_millis("w.start").alias("start_ms"), "n")
 
 
+# --- streams, run to their end --------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The copies as a stream: events are read as they would come."""
+    e = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")  # a pattern may be a file or a folder
+    r = e.select(event_ulid(F.col("ts"), F.col("event_id")).alias("ulid"), F.concat_ws(" ", "event_type", "props").alias("body"))
+    return r.select("ulid", F.explode(F.array(*[F.struct(F.when(F.lit(k == 0), F.col("body")).otherwise(F.concat("body", F.lit(f" #{k}"))).alias("body"), F.lit(k).cast("bigint").alias("arrival")) for k in range(2)])).alias("c")).select("ulid", "c.*")
+
+
+def _to_the_end(stream: DataFrame, what: str) -> DataFrame:
+    """What a stream gives out when it has taken all that is there, as a table in the shared folder."""
+    out = shared_dir(stream.sparkSession, what)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def stream_grep(spark: SparkSession, folder: str) -> DataFrame:
+    """A live query without repeats: Spark's own operator for copies that are the same."""
+    d = _stream(spark, folder).where("arrival = 0").unionByName(_stream(spark, folder).where("arrival = 0"))
+    return _to_the_end(tail.distinct_stream(d.where(search.matches(LogQuery(q="error"), F.col("body"))).select("ulid", "body"), "40 days"), "stream-grep")
+
+
+def stream_by_hour(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by hour and topic of a live stream, each hour when the watermark has passed it: extension."""
+    d = _stream(spark, folder).withColumn("at", U.ulid_ts(F.col("ulid"))).withWatermark("at", "1 hour")
+    d = d.groupBy(F.window("at", "1 hour").alias("w"), F.substring_index("body", " ", 1).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    return _to_the_end(d.select((F.unix_millis("w.start") / 3_600_000).cast("bigint").alias("hour"), "topic", "n"), "stream-hour")
+
+
 NAMES = [
     "grep_plain_bounded", "grep_range_sargable", "grep_regex", "grep_regex_unbounded", "grep_topic", "grep_id_not_matched", "render_raw", "render_strip", "render_time",
     "ulid_encode", "ulid_decode", "highlight", "json_post_filter", "documents_grep", "documents_regex_b", "documents_regex_i", "documents_regex_posix", "split_lines",
@@ -304,6 +335,7 @@ NAMES = [
     "segment_index", "segment_prune", "segment_prune_stats", "segment_range_overlap", "segment_names", "segment_bad_names", "segment_overlap_pairs", "segment_overlap_count",
     "segment_overlap_pick", "segment_islands", "segment_bin_pack", "segment_roll", "store_stats", "ingest_stats", "retention_trash", "retention_purge", "oldest_flushed",
     "human_size", "recovered_index", "batch_outcomes", "topic_validate", "topic_static", "forward_prefix", "live_query_fanout", "logs_by_hour", "logs_sessions",
+    "stream_grep", "stream_by_hour",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -371,6 +403,18 @@ SQL = {
         select segment from top union all select other from pairs join top using (segment)""",
     "segment_islands": f"""with {_INDEX}, i as (select *, max(high) over (order by low, high rows between unbounded preceding and 1 preceding) as before from idx where bucket % 5 != 0)
         select segment, (sum(case when before is null or low > before then 1 else 0 end) over (order by low, high rows unbounded preceding))::bigint as island from i""",
+    "segment_bin_pack": f"""with recursive {_INDEX}, o as (select segment, size_bytes as s, row_number() over (order by low, segment) as n from idx),
+        fold(n, first, total, done) as (select 0::bigint, 1::bigint, 0::bigint, false union all
+            select o.n, case when total + s <= {PACK_BYTES} or o.n - first >= 2 then first when s <= {PACK_BYTES} then o.n else o.n + 1 end,
+                case when total + s <= {PACK_BYTES} then total + s when o.n - first >= 2 then total when s <= {PACK_BYTES} then s else 0 end, total + s > {PACK_BYTES} and o.n - first >= 2
+            from fold join o on o.n = fold.n + 1 where not done),
+        fin as (select first, case when done then n - 1 else n end as final from fold order by n desc limit 1)
+        select (o.n - first)::integer as position, segment from o join fin on o.n between first and final where final - first >= 1""",
+    "segment_roll": f"""with recursive {_INDEX}, o as (select lane, segment, size_bytes as s, row_number() over (partition by lane order by low) as n from idx),
+        fold(lane, n, filled, roll, mine) as (select distinct lane, 0::bigint, 0::bigint, 0::bigint, 0::bigint from idx union all
+            select o.lane, o.n, case when filled + s >= {ROLL_BYTES} then 0 else filled + s end, case when filled + s >= {ROLL_BYTES} then roll + 1 else roll end, roll
+            from fold join o on o.lane = fold.lane and o.n = fold.n + 1)
+        select segment, mine as roll from fold join o using (lane, n)""",
     "store_stats": f"with {_STATE} select {_stats(segments.STATES)} from st",
     "ingest_stats": f"with {_STATE}, s2 as (select * replace (case when state = 'reading' then 'pending' else state end as state) from st) select {_stats(('active', 'flushed', 'pending'))} from s2",
     "retention_trash": f"with {_INDEX} select segment from idx where substr(high, 1, 10) < '{U.encode_ms(OLDEST_MS)}'",
@@ -389,6 +433,8 @@ SQL = {
     "forward_prefix": f"with {REC} select event_id, 'web eu ' || payload as value from rec",
     "live_query_fanout": f"with {REC}, q(query_id, q) as (values (1, 'error'), (2, '\"k\": 1'), (3, 'e')) select query_id, ulid from rec join q on contains(body, q)",
     "logs_by_hour": f"with {REC} select topic, ms // 3600000 as hour, count(*) as n, count(distinct json_extract_string(payload, '$.k')) as n_k from rec group by 1, 2",
+    "stream_grep": f"with {REC} select ulid, body from rec where contains(body, 'error')",
+    "stream_by_hour": f"with {REC} select ms // 3600000 as hour, topic, 2 * count(*) as n from rec where (ms // 3600000 + 1) * 3600000 <= (select max(ms) from rec) - 3600000 group by 1, 2",
     "logs_sessions": """with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events),
         s as (select user_id, ts, sum(case when p is null or ts - p >= interval 6 hours then 1 else 0 end) over (partition by user_id order by ts, p rows unbounded preceding) as k from e)
         select user_id, epoch_us(min(ts)) // 1000 as start_ms, count(*) as n from s group by user_id, k""",
