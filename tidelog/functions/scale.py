@@ -47,6 +47,15 @@ def partitions_for(df: DataFrame, bytes_each: int = 64 << 20, blow_up: float = 1
     return max(least, math.ceil(size * blow_up / bytes_each))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is read in fewer parts than there are cores (a small table in one file); else df as it is.
+
+    Only for rows that are costly to work on: large inputs have more parts than cores, and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: it runs once, here, and losing an executor later loses nothing of it."""
     path = shared_dir(df.sparkSession, what)

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ulid as U
-from tidelog.functions.scale import written
+from tidelog.functions.scale import spread, written
 from tidelog.operators import compact, dedup, load, logparse, periods, segments
 from tidelog.sources.tables import table
 
 
+def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Columns of merge_records, to be parsed."""
+    return spread(table(spark, folder, "merge_records").select(*columns))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every loading row that is not the kept copy of its message."""
-    rows = load.loaded(table(spark, folder, "merge_records").select("row_id", "src", "id", "record"), table(spark, folder, "topics"))
+    rows = load.loaded(records(spark, folder, "row_id", "src", "id", "record"), table(spark, folder, "topics"))
     return dedup.superseded(rows.select("ulid", "src", "row_id"))
 
 
 def log_entries(spark: SparkSession, folder: str, message: bool = True) -> DataFrame:
     """One row per entry of the log topics, over kept copies: conn_id, topic, ulid, ts_ms, log_level, component, (message,) n_lines."""
-    rows = load.loaded(table(spark, folder, "merge_records").select("row_id", "src", "conn_id", "id", "record"), table(spark, folder, "topics"))
+    rows = load.loaded(records(spark, folder, "row_id", "src", "conn_id", "id", "record"), table(spark, folder, "topics"))
     rows = rows.withColumn("ulid_ms", U.ulid_ms(F.col("ulid")))
     # lines are parsed before the copies are settled: fields are smaller to shuffle than texts
     rows = logparse.parsed(rows.withColumn("body", F.when(F.col("form") == "log", F.col("body"))))
@@ -41,12 +46,12 @@ def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of merge_records that cannot be loaded, and why."""
-    return load.rejected(table(spark, folder, "merge_records"), table(spark, folder, "topics"))
+    return load.rejected(records(spark, folder, "row_id", "id", "record"), table(spark, folder, "topics"))
 
 
 def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The rows that load, taken apart."""
-    rows = load.loaded(table(spark, folder, "merge_records").select("row_id", "id", "record"), table(spark, folder, "topics"))
+    rows = load.loaded(records(spark, folder, "row_id", "id", "record"), table(spark, folder, "topics"))
     return rows.select("row_id", "ulid", "topic", F.col("body").alias("payload"))
 
 
