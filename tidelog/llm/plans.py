@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import leaks, levels, packing
+from tidelog.functions.scale import spread
 from tidelog.sources.tables import table
 
 
+def texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select(*columns))
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Container of each text, or of each piece of a text that is larger than a container."""
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(texts(spark, folder, "doc_id", "text"))
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,17 +32,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """p7_found with the words of the longest stretch."""
-    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.leaks(texts(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Level of each English speech of at least a hundred words."""
-    return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples"))
+    return levels.levels(texts(spark, folder, "doc_id", "text"), table(spark, folder, "level_samples"))
 
 
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and words by level and source; level null: no English speech of a hundred words."""
-    d = levels.scored(table(spark, folder, "documents").select("text", "source"), table(spark, folder, "level_samples"))
+    d = levels.scored(texts(spark, folder, "text", "source"), table(spark, folder, "level_samples"))
     rated = (F.col("reading.n_words") >= levels.MIN_WORDS) & (F.col("reading.known") >= levels.KNOWN)
     d = d.select("source", F.when(rated, F.col("reading.level")).alias("reading_level"), "reading.n_words")
     return d.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_words").alias("n_words"))
