@@ -28,6 +28,7 @@ MERGE_AT = 8
 HOT_AT = 8
 HOT_MOST = 65_536
 NO_SRC = (1 << 31) - 1
+PARTITION_BYTES = 512 << 20  # a reduce task holds one prefix at a time, a fourth of this or less
 
 #: A run: identifiers in ascending order without repeats, and src and row_id of each one's best copy.
 Run = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -181,8 +182,7 @@ class DedupIndex:
         d = d.mapInArrow(_settle, "ulid string, src bigint, row_id bigint")
         # a row that has lost already goes anywhere
         d = d.withColumn("prefix", F.shiftrightunsigned(F.coalesce(F.xxhash64("ulid"), F.xxhash64("row_id")), shift).cast("int") if prefixes > 1 else F.lit(0))
-        # from wide to narrow: about 45 bytes a row here
-        d = d.repartition(partitions_for(rows, 256 << 20), "prefix").sortWithinPartitions("prefix")
+        d = d.repartition(partitions_for(rows, PARTITION_BYTES), "prefix").sortWithinPartitions("prefix")
         d.mapInArrow(apply, "row_id bigint, prefix int, run string, whole boolean").write.mode("overwrite").parquet(made)
         # as many rows as prefixes have changed
         for r in self.spark.read.parquet(made).where("run is not null").collect():
@@ -200,7 +200,7 @@ class DedupIndex:
 def superseded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """row_id of every row (ulid, src, row_id) that is not the kept copy of its message, by a fresh index."""
     spark = rows.sparkSession
-    n = 2 * partitions_for(rows, 256 << 20)
+    n = 4 * partitions_for(rows, PARTITION_BYTES)
     return DedupIndex(spark, path or shared_dir(spark, "dedup"), 1 << max(3, (n - 1).bit_length())).add(rows)
 
 

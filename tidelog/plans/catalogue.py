@@ -5,4 +5,4 @@ from __future__ import annotations
 from tidelog.plans import logs, records
 
 QUERIES = logs.QUERIES | {name: getattr(records, name) for name in ("p1_found", "p2_found", "p3_found", "p3_entries", "p4_found", "p4_loaded", "p5_found", "p5_plan")}
-SQL: dict[str, str] = dict(logs.SQL)
+SQL: dict[str, str] = logs.SQL | records.SQL

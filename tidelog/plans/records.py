@@ -73,3 +73,73 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
     """The output file of each live file that is put together."""
     return compact.plan(live_files(spark, folder))
+
+
+# --- the same in SQL, for the tables' six layouts -------------------------------------------------------------------
+
+_ULID = "[0-7][0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{25}"
+_AROUND = "[\\s\\x{FEFF}\\x{00A0}\\x{200B}]"
+_AT, _DAY, _INT, _DEC, _TEXT, _WORD, _BOOL = r"\d{4}-\d\d-\d\dT(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?Z", r"\d{4}-\d\d-\d\d", r"-?\d{1,18}", r"-?\d+(?:\.\d+)?", '(?:[^",]+|"(?:[^"]|"")+")', '(?:[^",\\s]+)', "(?:true|false)"
+_CSV = {
+    "metrics": f"{_AT},{_WORD},{_WORD},{_DEC},{_TEXT}?",
+    "audit": f"{_AT},{_WORD},{_WORD},{_TEXT},{_INT}",
+    "tickets": f"{_INT},{_DAY},{_TEXT},(?:{_DEC})?,{_WORD}?,{_TEXT}?",
+    "probe": f"{_AT},{_WORD},{_BOOL},{_INT}",
+}
+_JSON = {
+    "orders-feed": {"seq": ("int", _INT), "sku": ("string", ".+"), "qty": ("int", _INT), "price": ("number", _DEC), "placed": ("string", _AT)},
+    "profile_log": {"user": ("int", _INT), "display": ("string", ".+"), "active": ("bool", _BOOL), "joined": ("string", _DAY)},
+}
+# What the SQL engine calls the types of JSON values.
+_KINDS = {"int": "('BIGINT', 'UBIGINT')", "number": "('BIGINT', 'UBIGINT', 'DOUBLE')", "string": "('VARCHAR')", "bool": "('BOOLEAN')"}
+_NO_DAY = "try_cast(regexp_extract(body, '\\d{4}-\\d\\d-\\d\\d') as date) is null"  # each layout has one date or time
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+
+
+def _reason_sql() -> str:
+    out = []
+    for topic, good in _CSV.items():
+        n = len(_columns(good))
+        out.append(f"when topic = '{topic}' then case when not regexp_full_match(body, '{_FIELD}(?:,{_FIELD})*') then 'quoting' when not regexp_full_match(body, '{_FIELD}(?:,{_FIELD}){{{n - 1}}}') then 'columns' when not regexp_full_match(body, '{good}') or {_NO_DAY} then 'value' end")
+    for topic, keys in _JSON.items():
+        names = "[" + ", ".join(f"'{k}'" for k in sorted(keys)) + "]"
+        fine = " and ".join(f"json_type(body, '$.{k}') in {_KINDS[kind]} and regexp_full_match(json_extract_string(body, '$.{k}'), '{form}')" for k, (kind, form) in keys.items())
+        out.append(f"when topic = '{topic}' then case when not json_valid(body) then 'quoting' when list_sort(json_keys(body)) != {names} then 'columns' when not coalesce({fine}, false) or {_NO_DAY} then 'value' end")
+    return "case " + " ".join(out) + " end"
+
+
+def _columns(pattern: str) -> list[str]:
+    """A CSV pattern by its columns: commas inside classes and groups part none."""
+    out, depth = [""], 0
+    for ch in pattern:
+        depth += (ch in "([{") - (ch in ")]}")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+_ROWS = f"""r as (select row_id, src, id, regexp_replace(regexp_replace(record, '^{_AROUND}+', ''), '\\r?\\n$|\\r$', '') as l from merge_records),
+    s as (select *, instr(l, ' ') as a from r),
+    t as (select *, upper(regexp_replace(case when a > 0 then substr(l, 1, a - 1) else l end, '{_AROUND}+$', '')) as u, case when a > 0 then substr(l, a + 1) end as rest from s),
+    x as (select *, case when instr(rest, ' ') > 0 then substr(rest, 1, instr(rest, ' ') - 1) end as topic, case when instr(rest, ' ') > 0 then substr(rest, instr(rest, ' ') + 1) end as body from t),
+    y as (select *, {_reason_sql()} as pay from x),
+    rows as (select row_id, src, u, topic, body, case when topic is null then 'columns' when pay in ('quoting', 'columns') then pay when not regexp_full_match(u, '{_ULID}')
+        or (id is not null and upper(regexp_replace(regexp_replace(id, '^{_AROUND}+', ''), '{_AROUND}+$', '')) != u) or not regexp_full_match(topic, '[a-zA-Z0-9][a-zA-Z0-9_-]*') then 'value' else pay end as reason from y)"""
+_FILES = f"""raw as (select seg_no, listed_at, size, replace(regexp_replace(regexp_replace(path, '^{_AROUND}+', ''), '{_AROUND}+$', ''), chr(92), '/') as p from read_segments),
+    parts as (select *, lower(regexp_extract(p, '(?i)(?:^|/)(vol-[0-9]{{7}})/', 1)) as volume, regexp_extract(string_split(p, '/')[-1], '^({_ULID})-({_ULID})\\.([A-Za-z]+)$', ['a', 'b', 's']) as n from raw),
+    named as (select *, least(upper(n.a), upper(n.b)) as low, greatest(upper(n.a), upper(n.b)) as high, lower(n.s) as state from parts where n.a != '' and volume != ''),
+    cur as (select volume, low, high, arg_max(state, (listed_at, seg_no)) as state, arg_max(size, (listed_at, seg_no)) filter (size >= 0) as size from named group by all),
+    live as (select * from cur where state in ('flushed', 'reading'))"""
+SQL = {
+    "p1_found": f"with {_ROWS} select row_id from (select row_id, row_number() over (partition by u order by src, row_id) as k from rows where reason is null) where k > 1",
+    "p2_found": f"""with {_FILES}, m as (select volume, low, high, max(high) over (partition by volume order by low, high rows between unbounded preceding and 1 preceding) as b from live),
+        g as (select *, sum(case when b is null or low > b then 1 else 0 end) over (partition by volume order by low, high rows unbounded preceding) as k from m),
+        p as (select volume, k, min(low) as low, max(high) as high from g group by volume, k)
+        select volume, 'period' as kind, low, high from p union all
+        select volume, 'gap', high, n from (select volume, high, lead(low) over (partition by volume order by k) as n from p) where n is not null""",
+    "p4_found": f"with {_ROWS} select row_id, reason from rows where reason is not null",
+    "p4_loaded": f"with {_ROWS} select row_id, u as ulid, topic, body as payload from rows where reason is null",
+    "p5_found": f"with {_FILES} select volume, low, high from live where size < 16777216 qualify count(*) over (partition by volume) > 1",
+}
