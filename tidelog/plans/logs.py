@@ -22,15 +22,15 @@ OLDEST_MS = 1_704_844_800_000  # 2024-01-10
 
 
 def grep_plain_bounded(spark: SparkSession, folder: str) -> DataFrame:
-    return search.run(event_records(spark, folder), LogQuery(FROM, TO, '"k": 4')).select("ulid", "body")
+    return search.run(event_records(spark, folder, FROM, TO), LogQuery(FROM, TO, '"k": 4')).select("ulid", "body")
 
 
 def grep_range_sargable(spark: SparkSession, folder: str) -> DataFrame:
-    return search.run(event_records(spark, folder), RANGE, ordered=False).select("ulid")
+    return search.run(event_records(spark, folder, FROM, TO), RANGE, ordered=False).select("ulid")
 
 
 def grep_regex(spark: SparkSession, folder: str) -> DataFrame:
-    return search.run(event_records(spark, folder), LogQuery(FROM, TO, '^(error|view) .*[[:digit:]]{2}\\}$', True)).select("ulid", "body")
+    return search.run(event_records(spark, folder, FROM, TO), LogQuery(FROM, TO, '^(error|view) .*[[:digit:]]{2}\\}$', True)).select("ulid", "body")
 
 
 def grep_regex_unbounded(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +80,7 @@ def json_post_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents_grep(spark: SparkSession, folder: str) -> DataFrame:
     q = LogQuery(q="council")
-    return document_lines(spark, folder).where(search.matches(q, F.col("line"))).select("doc_id", "line_no", "line")
+    return document_lines(spark, folder, q.q).where(search.matches(q, F.col("line"))).select("doc_id", "line_no", "line")
 
 
 def documents_regex_b(spark: SparkSession, folder: str) -> DataFrame:
