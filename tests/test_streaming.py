@@ -105,3 +105,19 @@ def test_deduplicated_stream(spark, tmp_path):
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
         best.setdefault(r[0], r[2])
     assert {r.row_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {r[2] for r in rows} - set(best.values())
+
+
+def test_by_processing_time_a_late_line_comes_again(spark, tmp_path):
+    import time
+
+    a, b = u(T0), u(T0 + 5)
+    s = stream_of(spark, tmp_path / "in", [[(b, "B", 1), (a, "old", 0), (a, "A", 2)], [(a, "late", 3)]])
+    got = []
+    q = TL.in_order(TL.tail(s, window="100ms"), lambda d, n: got.extend((r.ulid, r.body) for r in d.collect()), f"file://{tmp_path}/check", processingTime="500 milliseconds")
+    end = time.time() + 90
+    while len(got) < 2 and time.time() < end and q.exception() is None:
+        time.sleep(0.5)
+    time.sleep(4)
+    q.stop()
+    # the late line may come before the timer of the first has fired, and then takes its place
+    assert got in ([(a, "A"), (b, "B"), (a, "late")], [(a, "late"), (b, "B")])
