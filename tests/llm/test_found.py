@@ -1,0 +1,33 @@
+from pathlib import Path
+
+import pytest
+
+from tidelog.llm import leaks, plans
+from tidelog.llm.words import words
+from tidelog.sources.tables import table
+
+DATA = Path("/root/testdata/sf0.01")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+
+
+def test_every_exact_stretch_is_found(spark):
+    n = leaks.MIN_WORDS
+    runs = {}
+    for r in table(spark, str(DATA), "benchmark").collect():
+        w = words(r.text)
+        for k in range(len(w) - n + 1):
+            runs.setdefault(tuple(w[k : k + n]), set()).add(r.item_id)
+    want = set()
+    for r in table(spark, str(DATA), "documents").where("text is not null").select("doc_id", "text").collect():
+        w = words(r.text)
+        want |= {(r.doc_id, i) for k in range(len(w) - n + 1) for i in runs.get(tuple(w[k : k + n]), ())}
+    got = {tuple(r) for r in plans.p7_found(spark, str(DATA)).collect()}
+    assert want and want <= got
+
+
+def test_columns_and_bounds(spark):
+    assert plans.p7_found(spark, str(DATA)).columns == ["doc_id", "item_id"]
+    d = plans.p8_found(spark, str(DATA))
+    assert d.dtypes == [("doc_id", "bigint"), ("reading_level", "int")] and {r.reading_level for r in d.collect()} == {1, 2, 3, 4}
+    f = plans.p6_fill(spark, str(DATA)).first()
+    assert f.largest <= 2048 and f.filled > 0.99
