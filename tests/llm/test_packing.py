@@ -43,7 +43,7 @@ def test_pack(spark):
         if i != 5:
             assert sorted(seen[i]) == K.pieces(n, K.CAPACITY)  # whole, in order, split only where it must be
     assert len(seen[5]) == 2 and 902 not in seen and len(seen) == len(count)
-    assert sum(loads.values()) / (len(loads) * K.CAPACITY) > 0.85
+    assert sum(loads.values()) / (len(loads) * K.CAPACITY) > 0.85  # texts of up to 900 tokens in blocks of 64
     assert K.pack(d.where("false")).count() == 0
     again = {(r.doc_id, r.first_token, r.n_tokens, r.container) for r in K.pack(d, block=64).collect()}
     assert again == {(r.doc_id, r.first_token, r.n_tokens, r.container) for r in got}

@@ -6,8 +6,8 @@ capacities are left with the smallest weighted norm ('norm'), or have the larges
 ('dot'). A text is split only if it alone has more tokens than a container: into full containers and a rest, which is packed
 like any other.
 
-Containers are filled per block of BLOCK texts where the texts are read: nothing is shuffled, a block's few unfilled
-containers are all that is lost against packing everything at once, and the same input gives the same containers.
+Containers are filled per block of BLOCK pieces where the texts are read. The few of a block that are not full are taken apart
+again, and their pieces (numbers, not texts) packed together, again in blocks. The same input gives the same containers.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.functions.scale import written
 
 CAPACITY = 2_048
 MOST_DOCUMENTS = 256
 BLOCK = 16_384
+FULL = 0.995
 WEIGHTS = (1.0, 0.02, 0.02)
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer's vocabulary takes text apart before its merges.
@@ -93,30 +97,50 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPAC
     repeated row is packed each time; an empty table gives no rows. Containers are numbered uniquely, not densely.
     """
     key = dict(documents.dtypes)["doc_id"]
+    names = ["container", "doc_id", "first_token", "n_tokens", "full"]
+    schema = f"container bigint, doc_id {key}, first_token bigint, n_tokens bigint, full boolean"
+
+    def filled(rows: list[tuple], base: int, id_type: pa.DataType) -> pa.RecordBatch:
+        """Pieces (doc_id, first token, tokens) in containers from number base on, and whether their container is full."""
+        sizes = np.array([r[2] for r in rows], np.int64)
+        bins = best_fit(sizes, capacity, most_documents, cost, rule, weights)
+        full = (np.bincount(bins, sizes) >= FULL * capacity) | (np.bincount(bins) >= most_documents)
+        return pa.RecordBatch.from_arrays([pa.array(base + bins), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes), pa.array(full[bins])], names)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition, n_block = TaskContext.get().partitionId(), 0
         enc = encoding(tokenizer)
-        ids: list = []
-        sizes: list[int] = []
+        rows: list[tuple] = []
         id_type = pa.int64()
+        for b in batches:
+            id_type = b.column("doc_id").type
+            sizes = [len(t) for t in enc.encode_ordinary_batch(b.column("text").to_pylist(), num_threads=1)]
+            rows += [(d, at, n) for d, size in zip(b.column("doc_id").to_pylist(), sizes) for at, n in pieces(size, capacity)]
+            while len(rows) >= block:
+                yield filled(rows[:block], (partition << 40) + (n_block << 20), id_type)
+                rows, n_block = rows[block:], n_block + 1
+        if rows:
+            yield filled(rows, (partition << 40) + (n_block << 20), id_type)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        def out(ids: list, sizes: list[int]) -> pa.RecordBatch:
-            rows = [(d, at, n) for d, size in zip(ids, sizes) for at, n in pieces(size, capacity)]
-            bins = best_fit(np.array([r[2] for r in rows], np.int64), capacity, most_documents, cost, rule, weights)
-            base = (partition << 40) + (n_block << 20)
-            return pa.RecordBatch.from_arrays([pa.array(base + bins), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["container", "doc_id", "first_token", "n_tokens"])
-
+        partition, n_block = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        id_type = pa.int64()
         for b in batches:
             id_type = b.column("doc_id").type
-            sizes += [len(t) for t in enc.encode_ordinary_batch(b.column("text").to_pylist(), num_threads=1)]
-            ids += b.column("doc_id").to_pylist()
-            while len(ids) >= block:
-                yield out(ids[:block], sizes[:block])
-                ids, sizes, n_block = ids[block:], sizes[block:], n_block + 1
-        if ids:
-            yield out(ids, sizes)
-
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(apply, f"container bigint, doc_id {key}, first_token bigint, n_tokens bigint")
+            rows += zip(b.column("doc_id").to_pylist(), b.column("first_token").to_pylist(), b.column("n_tokens").to_pylist())
+            while len(rows) >= 2 * block:
+                yield filled(rows[:block], (1 << 62) + (partition << 40) + (n_block << 20), id_type)
+                rows, n_block = rows[block:], n_block + 1
+        if rows:
+            yield filled(rows, (1 << 62) + (partition << 40) + (n_block << 20), id_type)
+
+    made = written(documents.where("text is not null").select("doc_id", "text").mapInArrow(first, schema), "containers")
+    rest = made.where("not full")
+    parts = max(1, -(-rest.count() // block))
+    rest = rest.repartition(parts, F.xxhash64("doc_id", "first_token", "container")).sortWithinPartitions("doc_id", "first_token", "container").mapInArrow(again, schema)
+    return made.where("full").unionByName(rest).drop("full")
