@@ -86,7 +86,7 @@ def overlap_pairs(index: DataFrame, key: str, width_ms: int = 3_600_000) -> Data
     null bound or key pair with none.
     """
     d = index.where(f"{key} is not null and low is not null and high is not null").select(key, F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
-    d = d.withColumn("_from", F.expr("0L") + F.floor(U.ulid_ms(F.col("low")) / width_ms)).withColumn("_to", F.floor(U.ulid_ms(F.col("high")) / width_ms))
+    d = d.withColumn("_from", F.floor(U.ulid_ms(F.col("low")) / width_ms)).withColumn("_to", F.floor(U.ulid_ms(F.col("high")) / width_ms))
     blocks = d.withColumn("_block", F.explode(F.sequence("_from", "_to")))
     a, b = blocks.alias("a"), blocks.alias("b")
     both = a.join(b, F.col("a._block") == F.col("b._block"))
