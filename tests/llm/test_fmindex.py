@@ -51,3 +51,23 @@ def test_search_and_locate(seed):
     for p, a, b in zip(patterns, low, high):
         want = [x for x in range(len(s) - 2) if tuple(s[x : x + 3]) == p]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_separators_are_symbols_like_others(seed):
+    rng = random.Random(seed)
+    s = [0 if rng.random() < 0.05 else rng.randrange(1, 6) for _ in range(900)]
+    index = X.FMIndex(np.array(s, np.int64), 6, sample=1 + 3 * seed)
+    # every suffix is located, also those whose walk passes separators and the beginning
+    assert sorted(index.locate(np.arange(index.n)).tolist()) == list(range(len(s) + 1))
+    patterns = [tuple(s[p : p + 2]) for p in range(0, 890, 3)] + [(0, 0)]
+    low, high = index.search(np.array(patterns, np.int64))
+    for p, a, b in zip(patterns, low, high):
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [x for x in range(len(s) - 1) if tuple(s[x : x + 2]) == p]
+
+
+def test_a_broken_index_raises_and_does_not_loop():
+    index = X.FMIndex(np.arange(1, 50), 60)
+    index.marked = X.Bits(np.zeros(index.n, bool))
+    with pytest.raises(AssertionError):
+        index.locate(np.arange(3))

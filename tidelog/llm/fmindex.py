@@ -23,7 +23,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         key <<= bits
         if k < n:
             key[: n - k] |= s[k:].astype(np.int64) + 1
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     key = key[sa]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
@@ -94,40 +94,45 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search and location of patterns in one sequence. Symbol 0 is for the end; patterns don't hold it."""
+    """Backward search and location of patterns in one sequence of symbols 0..n_symbols - 1; any of them may occur in patterns.
+
+    Inside, symbols are one higher: 0 is the terminal, which occurs once. (With several equal terminals the step from the last
+    column to the first isn't that of the text.)
+    """
 
     def __init__(self, s: np.ndarray, n_symbols: int, sample: int = SAMPLE):
-        s = np.append(s, 0)
+        s = np.append(np.asarray(s, np.int64) + 1, 0)
+        n_symbols += 1
         sa = suffix_array(s)
-        self.n = len(s)
-        self.wavelet = Wavelet(s[sa - 1].astype(np.int64), n_symbols)
+        self.n, self.sample = len(s), sample
+        self.wavelet = Wavelet(s[sa - 1], n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n_symbols))])
         self.start = self.wavelet.rank(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
         marked = sa % sample == 0
         self.marked = Bits(marked)
         self.sampled = sa[marked]
 
-    def _step(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self.first[c] + self.wavelet.rank(c, i) - self.start[c]
-
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [low, high) of suffixes that begin with each row of patterns."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for k in range(patterns.shape[1] - 1, -1, -1):
             alive = np.flatnonzero(low < high)
-            c = patterns[alive, k]
-            low[alive], high[alive] = self._step(c, low[alive]), self._step(c, high[alive])
+            c = patterns[alive, k] + 1
+            both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([low[alive], high[alive]]))
+            base = self.first[c] - self.start[c]
+            low[alive], high[alive] = base + both[: len(c)], base + both[len(c) :]
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Positions in the sequence of suffixes given by their place in the order."""
+        """Positions in the sequence of suffixes given by their place in the order; one in `sample` is known, so no walk is longer."""
         out = np.zeros(len(rows), np.int64)
-        left, steps = np.arange(len(rows)), 0
-        while len(left):
+        left = np.arange(len(rows))
+        for steps in range(self.sample):
             hit = self.marked.get(rows)
             out[left[hit]] = self.sampled[self.marked.rank(rows[hit])] + steps
             left, rows = left[~hit], rows[~hit]
+            if not len(left):
+                return out
             c, i = self.wavelet.get(rows)
             rows = self.first[c] + i - self.start[c]
-            steps += 1
-        return out % self.n
+        raise AssertionError(f"{len(left)} walks have passed no sampled position")

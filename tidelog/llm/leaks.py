@@ -2,30 +2,36 @@
 
 Method: each shard of documents becomes an FM-index over its words. All phrases of SEED words of the items are searched
 backward in it, through the ranks of a wavelet matrix, and their occurrences located by sampled suffix positions. Occurrences of
-a document and item (two at least: where every run of unchanged words is shorter than SEED + 1 and only one has SEED words,
-slips aren't isolated) are joined to spans, by an exact comparison of words, across single changed, lost or added words and
-across interruptions in the document. A span of MIN_WORDS words of the item is a leak, and the document's words of all spans, merged, are what would have to be removed.
+a document and item are joined to spans, by an exact comparison of words, across single changed, lost or added words and
+across interruptions in the document. A span of MIN_WORDS words of the item is a leak; the spans of all items in a document
+are merged to the passages that would have to be removed.
 
-The items are the query set; they are shipped to every task, so their words are counted first and MOST_WORDS refused beyond.
-Documents are never shuffled.
+Items are the query set. They are numbered in blocks of at most BLOCK_WORDS words, each written once to the shared folder, and
+every task reads one block at a time; nothing of them goes to the driver but the blocks' names. Documents are never shuffled.
+A stretch that holds no SEED unchanged words in a row has no occurrence and isn't found: its slips aren't isolated.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.scale import shared_dir, written
 from tidelog.llm.fmindex import FMIndex
-from tidelog.llm.words import words
+from tidelog.llm.words import words, words_with_places
 
 SEED = 5
 MIN_WORDS = 15
 SHARD_WORDS = 1 << 20
-MOST_WORDS = 20_000_000
+BLOCK_WORDS = 500_000  # a number of a word is a character of `as_text`, of which there are twice as many
+LAP_WORDS = 256  # an item longer than a block is taken in parts that overlap by so many
 SLIP = 2  # words in a row that may differ
 INTERRUPTION = 40  # words that may stand between
 SURE = 4  # words that must match after an interruption
@@ -34,28 +40,96 @@ MIN_MATCHED = MIN_WORDS - 1  # one of the fewest words may be a slip
 
 
 class Items:
-    """Test items as word numbers: 2 and above; 0 is the end of a document, 1 any word that no item has."""
+    """A block of test items as word numbers: 2 and above; 0 is the end of a document, 1 any word that no item has."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None]):
+        self.prepare(ids, [words(t) for t in texts])
+
+    @staticmethod
+    def of_words(ids: list, texts: list[list[str]]) -> Items:
+        new = Items.__new__(Items)
+        new.prepare(ids, texts)
+        return new
+
+    def prepare(self, ids: list, texts: list[list[str]]) -> None:
         self.ids = ids
         self.vocabulary: dict[str, int] = {}
-        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(t)] for t in texts]
+        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in t] for t in texts]
         self.texts = [as_text(w) for w in self.words]
-        seeds: dict[tuple, list[tuple[int, int]]] = {}
-        for n, w in enumerate(self.words):
-            for at in range(len(w) - SEED + 1):
-                seeds.setdefault(tuple(w[at : at + SEED]), []).append((n, at))
-        self.seeds = np.array(list(seeds), np.int64).reshape(-1, SEED)
-        self.count = np.array([len(v) for v in seeds.values()], np.int64)
-        self.offset = np.concatenate([[0], np.cumsum(self.count)])
-        places = [x for v in seeds.values() for x in v]
-        self.item, self.at = np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.int64)
+        self.numbers = np.array([x for w in self.words for x in w], np.int64)
+        length = np.array([len(w) for w in self.words], np.int64)
+        begin = np.cumsum(length) - length
+        n = np.maximum(length - SEED + 1, 0)
+        # places of seeds, in order of the seed: count and offset are those of each different one
+        item = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        all_seeds = self.numbers[(begin[item] + at)[:, None] + np.arange(SEED)] if len(item) else np.zeros((0, SEED), np.int64)
+        order = np.lexsort(all_seeds.T[::-1])
+        all_seeds, self.item, self.at = all_seeds[order], item[order], at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (all_seeds[1:] != all_seeds[:-1]).any(1)
+        self.seeds = all_seeds[new]
+        self.offset = np.append(np.flatnonzero(new), len(order))
+        self.count = np.diff(self.offset)
 
     @property
     def n_symbols(self) -> int:
         return len(self.vocabulary) + 2
 
 
+_blocks: dict[str, Items] = {}
+
+
+def block_of(uri: str) -> Items:
+    """A block of items from the shared folder; a worker keeps the last it has read."""
+    if uri not in _blocks:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(path) as f:
+            got = pickle.loads(f.read())
+        _blocks.clear()
+        _blocks[uri] = got
+    return _blocks[uri]
+
+
+def write_blocks(items: DataFrame) -> list[str]:
+    """Items (item_id, text) in blocks in the shared folder; their URIs. Null ids are left out, and items of fewer than MIN_WORDS words."""
+    folder, most, lap, least = shared_dir(items.sparkSession, "items"), BLOCK_WORDS, LAP_WORDS, MIN_WORDS
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        ids, texts, size, n = [], [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            name = f"{TaskContext.get().taskAttemptId()}-{n}"
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                f.write(pickle.dumps(Items.of_words(ids, texts)))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["block"])
+
+        for b in batches:
+            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                w = words(t)
+                for part in [w] if len(w) <= most else [w[k : k + most] for k in range(0, len(w) - lap, most - lap)]:
+                    if len(part) < least:
+                        continue
+                    if texts and size + len(part) > most:
+                        yield out()
+                        ids, texts, size, n = [], [], 0, n + 1
+                    ids.append(i)
+                    texts.append(part)
+                    size += len(part)
+        if texts:
+            yield out()
+
+    d = items.where("item_id is not null and text is not null").select("item_id", "text")
+    total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-total // (4 * BLOCK_WORDS)))
+    # one short row a block comes to the driver
+    return sorted(r.block for r in written(d.repartition(parts, F.xxhash64("item_id", "text")).mapInArrow(apply, "block string"), "item-blocks").collect())
+
+
 def occurrences(items: Items, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, position in it, item and position in that, of each occurrence of a seed, in that order; by the shard's FM-index."""
     length = np.array([len(d) for d in docs], np.int64)
@@ -143,20 +217,58 @@ def is_leak(span: tuple[int, int, int, int]) -> bool:
     return span[2] >= MIN_WORDS and span[3] >= max(MIN_MATCHED, SHARE * span[2])
 
 
+def extends(d: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray, t: np.ndarray, begin: np.ndarray, stop: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether grow() could take one step to the right of seeds that end before d[p] and t[q], where these two words differ or aren't there.
+
+    d and t hold all documents and items, whose bounds are start, end, begin and stop for each seed. To the left: give all reversed.
+    """
+
+    def same(x: int, y: int, n: int) -> np.ndarray:
+        i, j = p + x, q + y
+        ok = (i + n <= end) & (j + n <= stop)
+        for k in range(n):
+            ok &= d[np.minimum(i + k, len(d) - 1)] == t[np.minimum(j + k, len(t) - 1)]
+        return ok
+
+    out = np.zeros(len(p), bool)
+    for x, y in _SLIPS:
+        out |= same(x, y, 2)
+    for y in (0, 1):
+        for x in range(INTERRUPTION + 1):
+            out |= same(x, y, SURE)
+    return out
+
+
 def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
     """(number of the text, number of the item, its leaked spans) of a shard of texts."""
+    return find_words(items, [words(t) for t in texts])
+
+
+def find_words(items: Items, texts: list[list[str]]) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """find() in texts that are taken into words already."""
     get = items.vocabulary.get
-    docs = [np.array([get(w, 1) for w in words(t)], np.int64) for t in texts]
+    docs = [np.fromiter(map(get, t, repeat(1)), np.int64, len(t)) for t in texts]
     doc, p, item, q = occurrences(items, docs)
     if not len(doc):
         return []
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
     edge = np.append(np.flatnonzero(new), len(doc))
-    # one seed alone: words between slips are too few for a stretch with isolated slips
-    several = np.flatnonzero(np.diff(edge) > 1)
+    # of pairs with one seed alone most can be seen to end on both sides of it, all at once
+    chosen = np.diff(edge) > 1
+    one = np.flatnonzero(~chosen)
+    if len(one):
+        at = edge[one]
+        d, t = np.concatenate(docs), items.numbers
+        ends, stops = np.cumsum([len(x) for x in docs]), np.cumsum([len(x) for x in items.words])
+        start, end = ends[doc[at]] - [len(docs[n]) for n in doc[at].tolist()], ends[doc[at]]
+        begin, stop = stops[item[at]] - [len(items.words[m]) for m in item[at].tolist()], stops[item[at]]
+        right = extends(d, start, end, start + p[at] + SEED, t, begin, stop, begin + q[at] + SEED)
+        nd, nt = len(d), len(t)
+        left = extends(d[::-1], nd - end, nd - start, nd - start - p[at], t[::-1], nt - stop, nt - begin, nt - begin - q[at])
+        chosen[one] = right | left
     found, at, text = [], -1, ""
-    for a, b in zip(edge[several].tolist(), edge[several + 1].tolist()):
+    for a, b in zip(edge[:-1][chosen].tolist(), edge[1:][chosen].tolist()):
         n, m = int(doc[a]), int(item[a])
         if n != at:
             at, text = n, as_text(docs[n].tolist())
@@ -166,44 +278,81 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, list[tup
     return found
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, and first_word, last_word, n_words and n_matched of the longest span, for every document that holds MIN_WORDS
-    running words of an item.
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(first, last, how many) of spans of words that overlap or follow one another."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1], out[-1][2] = max(out[-1][1], b), out[-1][2] + 1
+        else:
+            out.append([a, b, 1])
+    return [tuple(x) for x in out]
 
-    documents: doc_id, text. items: item_id, text. Null and empty texts hold nothing; items of the same text are all named; a
-    repeated row of documents is reported each time; other columns are ignored.
-    """
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
-    if total > MOST_WORDS:
-        raise ValueError(f"{total} words of test items; this search takes {MOST_WORDS}, so split them")
-    rows = items.where("item_id is not null").select("item_id", "text").collect()
-    ids, texts = [r.item_id for r in rows], [r.text for r in rows]
-    id_type = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+
+def _search(documents: DataFrame, items: DataFrame, schema: str, rows_of) -> DataFrame:
+    """Shards of documents against all blocks of items. rows_of(doc_id, text, [(item_id, spans)]) makes the rows of a document with leaks."""
+    blocks = write_blocks(items)
+    documents = documents.where("text is not null").select("doc_id", "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(ids, texts)
         held: list[tuple] = []
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            got = []
-            for n, m, s in find(known, [x[1] for x in held]):
-                best = max(s, key=lambda x: (x[2], x[3], -x[0]))
-                got.append((held[n][0], ids[m], *best))
-            if got:
-                cols = list(zip(*got))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), pa.array(cols[1]), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "item_id", "first_word", "last_word", "n_words", "n_matched"])
-
-        doc_type = pa.int64()
+        def out(types: pa.Schema) -> Iterator[pa.RecordBatch]:
+            got: dict[int, dict] = {}
+            texts = [words(x[1]) for x in held]
+            for uri in blocks:
+                block = block_of(uri)
+                for n, m, s in find_words(block, texts):
+                    got.setdefault(n, {}).setdefault(block.ids[m], []).extend(s)
+            rows = [r for n in sorted(got) for r in rows_of(*held[n], list(got[n].items()))]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, types)
+
+        types = None
         for b in batches:
-            doc_type = b.column("doc_id").type
+            types = types or pa.schema([pa.field("doc_id", b.column("doc_id").type), *rest])
             for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 held.append(row)
-                size += len(row[1] or "") // 6
+                size += len(row[1]) // 6
                 if size >= SHARD_WORDS:
-                    yield from out()
+                    yield from out(types)
                     held, size = [], 0
-        yield from out()
+        if held:
+            yield from out(types)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rest = list(to_arrow_schema(documents.sparkSession.createDataFrame([], schema).schema))
+    return documents.mapInArrow(apply, f"doc_id {dict(documents.dtypes)['doc_id']}, {schema}")
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, first_word, last_word, n_words, n_matched and longest, for every stretch of MIN_WORDS words of an item in a document.
+
+    documents: doc_id, text. items: item_id, text. first_word and last_word count the document's words from 0; n_words are those of the
+    item, n_matched how many of them are the same; longest is true for one stretch of each document and item. Null and empty texts
+    hold nothing; items of the same text are all named; a repeated row of documents is reported each time; other columns are ignored.
+    """
+
+    def rows_of(doc_id, text: str, found: list) -> Iterator[dict]:
+        for item, all_spans in found:
+            all_spans = sorted(set(all_spans))
+            best = max(all_spans, key=lambda x: (x[2], x[3], -x[0], -x[1]))
+            for s in all_spans:
+                yield {"doc_id": doc_id, "item_id": item, "first_word": s[0], "last_word": s[1], "n_words": s[2], "n_matched": s[3], "longest": s == best}
+
+    return _search(documents, items, f"item_id {dict(items.dtypes)['item_id']}, first_word bigint, last_word bigint, n_words bigint, n_matched bigint, longest boolean", rows_of)
+
+
+def removals(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, first_word, last_word, first_char, end_char and n_spans of each passage to be removed: the stretches of all items in a
+    document, merged where they overlap or follow one another. Characters count from 0, and end_char is one past the last. Documents as
+    in leaks()."""
+
+    def rows_of(doc_id, text: str, found: list) -> Iterator[dict]:
+        places = words_with_places(text)[1]
+        for a, b, n in merged([s[:2] for _, all_spans in found for s in set(all_spans)]):
+            yield {"doc_id": doc_id, "first_word": a, "last_word": b, "first_char": places[a][0], "end_char": places[b][1], "n_spans": n}
 
-    schema = f"doc_id {id_type[0]}, item_id {id_type[1]}, first_word bigint, last_word bigint, n_words bigint, n_matched bigint"
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(apply, schema)
+    return _search(documents, items, "first_word bigint, last_word bigint, first_char bigint, end_char bigint, n_spans bigint", rows_of)

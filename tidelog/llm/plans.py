@@ -27,14 +27,19 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a stretch of a test item, with the item."""
-    return p7_spans(spark, folder).select("doc_id", "item_id")
+    return p7_spans(spark, folder).where("longest").select("doc_id", "item_id")
 
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_found with the words of the longest stretch."""
+    """Every stretch of a test item in a document, by words."""
     return leaks.leaks(texts(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark"))
 
 
+def p7_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages that have to go from each document: the stretches of all items, merged."""
+    return leaks.removals(texts(spark, folder, "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Level of each English speech of at least a hundred words."""
     return levels.levels(texts(spark, folder, "doc_id", "text"), table(spark, folder, "level_samples"))
@@ -48,5 +53,5 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_spans, p7_removals, p8_found, p8_profile)}
 SQL: dict[str, str] = {}

@@ -18,3 +18,17 @@ def words(text: str | None) -> list[str]:
     if "-" in text:
         text = _BROKEN.sub("", text)
     return _WORD.findall(text.lower())
+
+
+def words_with_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The same words, and where in the text each begins and ends (with what is invisible or broken inside it)."""
+    at = list(range(len(text)))
+    for gone in (_INVISIBLE, _BROKEN):
+        if cut := {k for m in gone.finditer(text) for k in range(*m.span())}:
+            left = [k for k in range(len(text)) if k not in cut]
+            text, at = "".join([text[k] for k in left]), [at[k] for k in left]
+    low = text.lower()
+    if len(low) != len(text):  # a few letters are two in lower case
+        at = [a for a, c in zip(at, text) for _ in c.lower()]
+    hits = list(_WORD.finditer(low))
+    return [m[0] for m in hits], [(at[m.start()], at[m.end() - 1] + 1) for m in hits]
