@@ -85,7 +85,8 @@ def block_of(uri: str) -> Items:
     if uri not in _blocks:
         fs, path = pafs.FileSystem.from_uri(uri)
         with fs.open_input_stream(path) as f:
-            got = pickle.loads(f.read())
+            got = Items.__new__(Items)
+            vars(got).update(pickle.loads(f.read()))
         _blocks.clear()
         _blocks[uri] = got
     return _blocks[uri]
@@ -105,7 +106,7 @@ def write_blocks(items: DataFrame) -> list[str]:
         def out() -> pa.RecordBatch:
             name = f"{TaskContext.get().taskAttemptId()}-{n}"
             with fs.open_output_stream(f"{root}/{name}") as f:
-                f.write(pickle.dumps(Items.of_words(ids, texts)))
+                f.write(pickle.dumps(vars(Items.of_words(ids, texts))))  # its attributes: a class that is shipped with a task can't be pickled
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["block"])
 
         for b in batches:
