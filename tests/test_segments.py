@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -9,23 +11,68 @@ def u(ms):
     return U.encode_ms(ms) + "0" * 16
 
 
-@pytest.mark.parametrize("a, b, c, d, want", [(100, 200, 201, 301, False), (100, 200, 199, 300, True), (100, 200, 200, 300, True), (200, 100, 199, 300, True), (100, 200, 300, 199, True), (199, 300, 100, 200, True), (300, 199, 200, 100, True), (300, 201, 200, 100, False)])
-def test_overlap(spark, a, b, c, d, want):
-    row = spark.createDataFrame([tuple(map(u, (a, b, c, d)))], "a string, b string, c string, d string")
-    assert row.select(S.overlap(*map(F.col, "abcd")).alias("x")).first().x is want
-
-
-@pytest.mark.parametrize("names, want", [([], []), (["A-Z"], [1]), (["A-M", "N-Z"], [1, 2]), (["A-M", "N-R", "O-S", "W-Z"], [1, 2, 2, 3]), (["A-M", "L-R", "O-S", "Q-Z"], [1] * 4), (["A-M", "L-R", "O-S", "W-Z"], [1, 1, 1, 2]), (["A-B", "B-C", "C-D", "E-F", "F-G"], [1, 1, 1, 2, 2])])
-def test_islands(spark, names, want):
-    d = spark.createDataFrame([tuple(n.split("-")) for n in names], "low string, high string")
-    assert [r.island for r in S.islands(d).orderBy("low", "high").collect()] == want
-
-
-@pytest.mark.parametrize("sizes, want", [("A123 B123 C123 D123 E123", "ABCDE"), ("A100000 B2000 C2000 D2000", "AB"), ("A118401 B623 C1000", "BC"), ("A118401", ""), ("A1", ""), ("", "")])
-def test_first_sequential(spark, sizes, want):
-    d = spark.createDataFrame([(x[0], x[0], int(x[1:])) for x in sizes.split()], "low string, path string, size bigint")
-    got = S.first_sequential(d, "path", "size", 102_400).orderBy("position").collect()
-    assert "".join(r.path for r in got) == want
+def ranges(rng, n, span=1000, longest=60):
+    """Random ranges in milliseconds, some of no length, some that share ends."""
+    out = []
+    for _ in range(n):
+        a = rng.randrange(span)
+        out.append((a, a + rng.choice([0, 1, rng.randrange(longest)])))
+    return out
+
+
+def test_overlap(spark):
+    """Against shared points: all ways to lay two ranges of small whole numbers, each given either way round."""
+    rows = [(a, b, c, d) for a in range(5) for b in range(5) for c in range(5) for d in range(5)]
+    table = spark.createDataFrame([tuple(map(u, r)) for r in rows], "a string, b string, c string, d string")
+    got = {tuple(U.decode_ms(x) for x in r[:4]): r.x for r in table.select("*", S.overlap(*map(F.col, "abcd")).alias("x")).collect()}
+    assert got == {(a, b, c, d): bool(set(range(min(a, b), max(a, b) + 1)) & set(range(min(c, d), max(c, d) + 1))) for a, b, c, d in rows}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_islands(spark, seed):
+    """Against milliseconds painted one by one; a group of its own, a null group, repeated rows, a column of the operator's own names."""
+    rng = random.Random(seed)
+    rows = [(g, a, b) for g, n in (("x", 80), ("y", 1), (None, 30)) for a, b in ranges(rng, n)] + [("x", 5, 7)] * 2
+    d = spark.createDataFrame([(g, u(a), u(b), 1) for g, a, b in rows], "g string, low string, high string, carry int")
+
+    def brute(members):
+        painted = [set(range(2 * a, 2 * b + 1)) for a, b in members]
+        out, n, upto = {}, 0, -1
+        for a, b in sorted(members):
+            n += not any(2 * a in p and x <= (a, b) for p, x in zip(painted, members) if x != (a, b)) and 2 * a > upto
+            upto = max(upto, 2 * b)
+            out[a, b] = n
+        return out
+
+    want = {(g, *k): n for g in ("x", "y", None) for k, n in brute([(a, b) for h, a, b in rows if h == g]).items()}
+    got = S.islands(d, ["g"]).collect()
+    assert {(r.g, U.decode_ms(r.low), U.decode_ms(r.high)): r.island for r in got} == want and len(got) == len(rows)
+    alone = {(U.decode_ms(r.low), U.decode_ms(r.high)): r.island for r in S.islands(d).collect()}
+    assert alone == brute([(a, b) for _, a, b in rows])
+    assert S.islands(d.where("false")).count() == 0
+
+
+def in_a_row(sizes, target, least):
+    """First run by trying every one: from each place where one can begin."""
+    begin = 0
+    while begin < len(sizes):
+        end = begin
+        while end < len(sizes) and sum(sizes[begin : end + 1]) <= target:
+            end += 1
+        if end - begin >= least:
+            return list(range(begin, end))
+        begin = end if end > begin else begin + 1
+    return []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_first_sequential(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 40, 90, 101, 500]) for _ in range([0, 1, 2, 5, 9, 20, 20, 20][seed])]
+    least = rng.choice([2, 3])
+    d = spark.createDataFrame([(u(k), f"p{k}", z) for k, z in enumerate(sizes)], "low string, path string, size bigint")
+    got = S.first_sequential(d, "path", "size", 100, least).orderBy("position").collect()
+    assert [r.path for r in got] == [f"p{k}" for k in in_a_row(sizes, 100, least)]
 
 
 def test_names(spark):
@@ -54,15 +101,21 @@ def test_current(spark):
     assert S.live(d).count() == 1 and S.live(d.where("false")).count() == 0
 
 
-def test_overlap_pairs_and_pick(spark):
-    rows = [("a", 0, 100), ("b", 50, 150), ("c", 100, 10_000_000), ("d", 9_000_000, 9_000_001), ("e", 20_000_000, 20_000_000), ("f", 151, 160)]
-    d = spark.createDataFrame([(k, u(x), u(y), "clash") for k, x, y in rows], "k string, low string, high string, other string")
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_runs_and_pick(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"s{k:03d}", a, b) for k, (a, b) in enumerate(ranges(rng, 70, 400))] + [("long", 0, 390)] * (seed == 2)
+    d = spark.createDataFrame([(k, u(b), u(a), "clash") for k, a, b in rows] + [("none", None, u(1), ""), (None, u(1), u(2), "")], "k string, low string, high string, position string")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] <= b[2] and b[1] <= a[2]}
-    got = [tuple(r) for r in S.overlap_pairs(d, "k").collect()]
-    assert set(got) == want and len(got) == len(want)
-    assert {r.k for r in S.compaction_pick(d, "k").collect()} == {"a", "b", "c", "d", "f"}
-    assert S.compaction_pick(d.where("k in ('e', 'f')"), "k").count() == 0
-    assert {r.k: r.n_overlaps for r in S.overlap_counts(d, "k").collect()}["e"] == 0
+    got = S.overlap_runs(d, "k").collect()
+    assert len(got) == len(rows)
+    pairs = {(a.k, b.k) for a in got for b in got if a.position < b.position <= a.last_position}
+    assert pairs | {(b, a) for a, b in pairs} == want and len(pairs) * 2 == len(want)
+    count = {k: sum(a == k for a, _ in want) for k, _, _ in rows}
+    assert {r.k: r.n_overlaps for r in got} == count
+    top = min(count, key=lambda k: (-count[k], k))
+    assert {r.k for r in S.compaction_pick(d, "k").collect()} == {top} | {b for a, b in want if a == top}
+    assert S.compaction_pick(d, "k", 500).count() == 0 and S.compaction_pick(d.where("false"), "k").count() == 0
 
 
 def test_stats_and_retention(spark):

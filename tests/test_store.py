@@ -31,7 +31,7 @@ def segment(store, ms, state="flushed", body="t {}", tag=""):
 
 
 def names(store):
-    return sorted(x for x in os.listdir(store.root) if not x.endswith(".crc"))
+    return sorted(x for x in os.listdir(store.root) if not x.endswith(".crc") and x != "_trash")
 
 
 def bodies(df):
@@ -113,19 +113,79 @@ def test_retention(store):
     segment(store, [3, 900])
     assert store.trash(now_ms=1000, retain_ms=500) == 1 and bodies(store.query(ALL)) == ["t 3", "t 900"]
     assert store.purge(now_ms=1000) == 0
-    import time
+    assert store.purge(now_ms=1500, purge_ms=501) == 0 and store.purge(now_ms=1502, purge_ms=501) == 1 and len(names(store)) == 1
+    assert bodies(store.query(ALL)) == ["t 3", "t 900"]
 
-    assert store.purge(now_ms=int(time.time() * 1000) + 10_000, purge_ms=0) == 1 and len(names(store)) == 1
+
+def lines_of(store):
+    return {n: open(f"{store.root}/{n}", newline="").read().splitlines() for n in names(store)}
 
 
 def test_recovery(store):
-    put(store, "ACTIVE.active", [("01ARYZ6S41TSV4RRFFQ69G5FAV", "t a"), ("01ARYZ6S41TSV4RRFFZZZZZZZZ", "t b")])
+    put(store, "17-2-ab.active", [(u(40), "t a"), (u(30), "t b")])
+    with open(f"{store.root}/17-3-cd.active", "w", newline="") as f:
+        f.write(f"{u(50)} t whole\n{u(60)} t cut o")
+    with open(f"{store.root}/empty.active", "w"):
+        pass
     segment(store, [1, 2], "reading")
     segment(store, [3, 4], "flushed")
     segment(store, [5, 6], "trashed")
+    segment(store, [7, 8], "pending")
     put(store, "X.ignored", [(u(1), "x")])
-    assert store.recover() == 2
-    assert names(store) == sorted(["01ARYZ6S41TSV4RRFFQ69G5FAV-01ARYZ6S41TSV4RRFFZZZZZZZZ.flushed", f"{u(1)}-{u(2)}.flushed", f"{u(3)}-{u(4)}.flushed", f"{u(5)}-{u(6)}.trashed", "X.ignored"])
+    assert store.recover() == 4
+    assert names(store) == sorted(["empty.active", f"{u(30)}-{u(40)}.flushed", f"{u(50)}-{u(50)}.flushed", f"{u(1)}-{u(2)}.flushed", f"{u(3)}-{u(4)}.flushed", f"{u(5)}-{u(6)}.trashed", f"{u(7)}-{u(8)}.flushed", "X.ignored"])
+    assert bodies(store.query(ALL)) == ["t 1", "t 2", "t 3", "t 4", "t 7", "t 8", "t b", "t a", "t whole"]
+
+
+def rows_of(spark, ids, body="t {}"):
+    return spark.createDataFrame([(u(k), f"{u(k)} {body.format(k)}") for k in ids], "ulid string, raw string").coalesce(1)
+
+
+def test_two_appends_of_one_range_lose_nothing(store, spark):
+    store.append(rows_of(spark, [1, 2, 9]))
+    store.append(rows_of(spark, [1, 5, 9], "t late {}"))
+    assert bodies(store.query(ALL)) == ["t 1", "t 2", "t late 5", "t 9"]
+    before = lines_of(store)
+    store.append(rows_of(spark, [1, 5, 9], "t late {}"))  # an append that is run again
+    assert lines_of(store) == before and len(before) == 1
+
+
+def test_a_crash_between_output_and_input_of_a_compaction(store):
+    """The output has the name of an input: what both hold stays."""
+    segment(store, [1, 2, 9], "reading")
+    put(store, f"{u(1)}-{u(9)}.flushed", [(u(k), f"t {k}") for k in (1, 2, 5, 9)])
+    assert store.recover() == 1
+    assert names(store) == [f"{u(1)}-{u(9)}.flushed"] and bodies(store.query(ALL)) == ["t 1", "t 2", "t 5", "t 9"]
+
+
+def test_a_failing_task_leaves_nothing(store, spark):
+    os.mkdir(f"{store.root}/{u(0)}-{u(199)}.flushed")  # its file can't get its name
+    with pytest.raises(Exception, match="(?i)directory|regular file"):
+        store.append(rows_of(spark, range(200)))
+    assert names(store) == [f"{u(0)}-{u(199)}.flushed"]
+
+
+def test_what_a_killed_task_leaves_is_recovered(store, spark):
+    """The writer's own temporary file, as it is in the middle of a task."""
+    put(store, "3-7-0a1b.active", [(u(k), f"t {k}") for k in range(20, 30)])
+    assert bodies(store.query(ALL)) == [] and store.quarantined().count() == 0
+    assert store.recover() == 1 and len(bodies(store.query(ALL))) == 10
+    store.append(rows_of(spark, range(20, 40)))  # the task's second attempt
+    assert bodies(store.query(ALL)) == [f"t {k}" for k in range(20, 40)]
+
+
+def test_claims(store):
+    segment(store, [5, 6])
+    os.utime(f"{store.root}/{names(store)[0]}", (1, 1))
+    segment(store, [1, 2])
+    top = store.claim()
+    assert top.endswith(f"{u(5)}-{u(6)}.pending") and bodies(store.query(ALL)) == ["t 1", "t 2"]
+    store.release(top)
+    assert len(bodies(store.query(ALL))) == 4
+    store.commit(store.claim())
+    assert bodies(store.query(ALL)) == ["t 1", "t 2"]
+    store.commit(store.claim())
+    assert store.claim() is None
 
 
 def test_turns(store):

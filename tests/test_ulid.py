@@ -1,4 +1,4 @@
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
 from hypothesis import given
@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from tidelog.functions import ulid as U
 
 
-@pytest.mark.parametrize(
-    "text, ulid, time",
-    [
-        ("01BC3NABW20000000000000000", "01BC3NABW20000000000000000", datetime(2017, 3, 25, 21, 17, 54, 946000, UTC)),
-        ("01BC3NABW21234567890123456", "01BC3NABW21234567890123456", datetime(2017, 3, 25, 21, 17, 54, 946000, UTC)),
-        ("2017-03-25T21:18:20.05731891Z", "01BC3NB4CS0000000000000000", datetime(2017, 3, 25, 21, 18, 20, 57318, UTC)),
-    ],
-)
-def test_bounds(text, ulid, time):
-    assert U.parse_bound(text) == (ulid, time)
+@given(st.integers(0, 253_402_300_799_999), st.text("0123456789ABCDEFGHJKMNPQRSTVWXYZ", min_size=16, max_size=16))
+def test_bounds_as_ulids(ms, entropy):
+    ulid = U.encode_ms(ms) + entropy
+    assert U.parse_bound(ulid) == (ulid, datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=ms))
 
 
-@pytest.mark.parametrize("text", ["", "yesterday", "01BC3NABW2", "81BC3NABW20000000000000000", "01BC3NABU20000000000000000", "2017-03-25"])
+@given(st.datetimes(datetime(1970, 1, 2), datetime(9999, 12, 30)), st.integers(0, 999), st.integers(-14, 14))
+def test_bounds_as_times(t, nanos, hours):
+    """Nine digits and any zone: the ULID is that of the millisecond, cut, without entropy."""
+    text = f"{t:%Y-%m-%dT%H:%M:%S.%f}".rjust(26, "0") + f"{nanos:03d}{hours:+03d}:00"
+    at = t.replace(tzinfo=timezone(timedelta(hours=hours))).astimezone(UTC)
+    ulid, got = U.parse_bound(text)
+    assert got == at and ulid == U.encode_ms((at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(milliseconds=1)) + "0" * 16
+
+
+@pytest.mark.parametrize("text", ["", "yesterday", "01F8MECHZX", "8" + "1" * 25, "0" * 25 + "U", "2021-06-17"])
 def test_no_bounds(text):
     with pytest.raises(ValueError):
         U.parse_bound(text)
@@ -47,14 +50,14 @@ def test_words():
 
 
 def test_columns(spark):
-    rows = [(0, 0), (1490476674946, 7), (U.MAX_MS, 2**40)]
+    rows = [(0, 0), (1624000000000, 7), (U.MAX_MS, 2**40)]
     got = spark.createDataFrame(rows, "ms bigint, e bigint").select("ms", U.ulid_of(F.col("ms"), F.col("e")).alias("u")).withColumn("back", U.ulid_ms(F.col("u"))).collect()
     assert [r.back for r in got] == [r.ms for r in got]
-    assert got[1].u == "01BC3NABW2" + "0" * 15 + "7" and all(len(r.u) == 26 for r in got)
+    assert got[1].u == U.encode_ms(1624000000000) + "0" * 15 + "7" and all(len(r.u) == 26 for r in got)
 
 
 def test_normal(spark):
-    u = "01BC3NABW20000000000000000"
+    u = "01F8MECHZX0000000000000000"
     rows = [(u,), (u.lower(),), (f" {u}\t",), (f"﻿{u}",), (None,), ("",), (u[:-1],), ("8" + u[1:],), (u[:-1] + "U",), (u[:-1] + "ſ",)]
     got = [r.x for r in spark.createDataFrame(rows, "s string").select(U.normal_ulid(F.col("s")).alias("x")).collect()]
     assert got == [u] * 4 + [None] * 6

@@ -7,12 +7,17 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); a folder of this machine only where that is unset."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a folder of this machine, but only
+    if all executors are on it; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/tidelog-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -61,3 +66,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ordered_parts(df: DataFrame, what: str, *keys: str) -> DataFrame:
+    """df as a table in the shared folder with `_part`: parts are ranges of the keys, in order, so that an order over all rows is one
+    inside parts and one over the parts (see before_parts). No part is a single task's whole table; equal keys stay together."""
+    return written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), what)
+
+
+def before_parts(df: DataFrame, **of_part) -> DataFrame:
+    """One row a part: _part, and each aggregate of a part (a Column) taken over all parts before it: sums, or maxima where the name begins with max_."""
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are parts
+    d = df.groupBy("_part").agg(*[c.alias(n) for n, c in of_part.items()])
+    return d.select("_part", *[(F.max(n).over(w) if n.startswith("max_") else F.coalesce(F.sum(n).over(w), F.lit(0))).alias(n) for n in of_part])

@@ -84,14 +84,27 @@ def rolled(index: DataFrame, group: list[str], order: str, size: str, target: in
     return index.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(apply, schema)
 
 
-# Shape of a line of the load generator.
+# Shape of a line of the load generator (shortest and longest word).
 WORDS = (5, 19)
 
 
-def generated(spark, n: int, source: str = "0", size: int = 512, start_ms: int = 0, per_second: int = 5) -> DataFrame:
-    """Lines of a load generator, one every 1/per_second s: time, source, number in nine digits, and words up to `size` bytes."""
-    d = spark.range(n).select(F.col("id"), U.ulid_ts(U.ulid_of(F.lit(start_ms) + F.expr(f"id * 1000 div {per_second}"))).alias("at"))
-    letters = F.translate(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.lit(source)), 512), "0123456789", "ghijklmnop")
-    filler = F.repeat(F.regexp_replace(letters, f"(.{{{WORDS[0]},11}})", "$1 "), -(-size // 128) + 1)
+def generated_lines(d: DataFrame, source: str = "0", size: int = 512) -> DataFrame:
+    """Lines of a load generator from (id, at), a batch or a stream: time, source, number in nine digits, and words up to `size` bytes."""
+    least, most = WORDS
+    seed = lambda k: F.concat_ws("/", F.col("id").cast("string"), F.lit(source), k.cast("string"))
+    letters = lambda k: F.translate(F.md5(seed(k)), "0123456789", "ghijklmnop")
+    word = lambda k: F.substring(letters(k), F.lit(1), (F.lit(least) + F.pmod(F.xxhash64(seed(k)), F.lit(most - least + 1))).cast("int"))
+    filler = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size // (least + 1))), word), " ")
     head = F.concat_ws(" ", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(source), F.lpad(F.col("id").cast("string"), 9, "0"))
     return d.select("id", F.substring(F.concat_ws(" ", head, filler), 1, size).alias("value"))
+
+
+def generated(spark, n: int, source: str = "0", size: int = 512, start_ms: int = 0, per_second: int = 5) -> DataFrame:
+    """n lines of a load generator, one every 1/per_second s from start_ms on."""
+    return generated_lines(spark.range(n).select("id", U.ulid_ts(U.ulid_of(F.lit(start_ms) + F.expr(f"id * 1000 div {per_second}"))).alias("at")), source, size)
+
+
+def generated_stream(spark, source: str = "0", size: int = 512, per_second: int = 5) -> DataFrame:
+    """The same as a stream without end."""
+    d = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return generated_lines(d.select(F.col("value").alias("id"), F.col("timestamp").alias("at")), source, size)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions import ulid as U
+from tidelog.functions.scale import before_parts, ordered_parts
 
 _ID = "[0-7][0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{25}"
 # A path: perhaps a volume's directory, and last a segment's name.
@@ -79,41 +80,60 @@ def state_stats(index: DataFrame, states: tuple[str, ...] = STATES, size: str =
     return index.agg(*each)
 
 
-def overlap_pairs(index: DataFrame, key: str, width_ms: int = 3_600_000) -> DataFrame:
-    """Ordered pairs of different segments whose ranges overlap (key, other).
+def overlap_runs(index: DataFrame, key: str) -> DataFrame:
+    """All overlaps of different segments, one row a segment: key, position, last_position, n_overlaps.
 
-    An equi-join on blocks of time, each pair kept in the block where the later of the two begins: no nested loop. Rows with a
-    null bound or key pair with none.
+    Segments are numbered by low end (then key). Those that begin within a segment's range follow it without a break, so the pairs
+    (a, b) that overlap are those with a.position < b.position <= a.last_position. n_overlaps is the number of a segment's partners on
+    either side: what begins before it ends, less what ends before it begins. Pairs are never made: two rows a segment are put in
+    order and counted, in parts. key is unique; rows with a null bound or key are left out; an empty index gives no rows.
     """
     d = index.where(f"{key} is not null and low is not null and high is not null").select(key, F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
-    d = d.withColumn("_from", F.floor(U.ulid_ms(F.col("low")) / width_ms)).withColumn("_to", F.floor(U.ulid_ms(F.col("high")) / width_ms))
-    blocks = d.withColumn("_block", F.explode(F.sequence("_from", "_to")))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    both = a.join(b, F.col("a._block") == F.col("b._block"))
-    keep = (F.col(f"a.{key}") != F.col(f"b.{key}")) & (F.col("a.low") <= F.col("b.high")) & (F.col("b.low") <= F.col("a.high")) & (F.greatest("a._from", "b._from") == F.col("a._block"))
-    return both.where(keep).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("other"))
-
-
-def overlap_counts(index: DataFrame, key: str) -> DataFrame:
-    """Partners of each segment."""
-    n = overlap_pairs(index, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_overlaps"))
-    return index.select(key).join(n, key, "left").select(key, F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"))
+    ends = F.array(F.struct(F.col("low").alias("at"), F.lit(0).alias("is_end")), F.struct(F.col("high").alias("at"), F.lit(1).alias("is_end")))
+    e = d.select(F.col(key).alias("_key"), F.explode(ends).alias("_e")).select("_key", F.col("_e.at").alias("at"), F.col("_e.is_end").alias("is_end"))
+    e = ordered_parts(e, "overlaps", "at", "is_end", "_key")
+    before = before_parts(e, starts=F.sum(1 - F.col("is_end")), stops=F.sum("is_end"))
+    w = Window.partitionBy("_part").orderBy("at", "is_end", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_starts", F.sum(1 - F.col("is_end")).over(w)).withColumn("_stops", F.sum("is_end").over(w)).join(before, "_part")
+    e = e.select("_key", "is_end", (F.col("_starts") + F.col("starts")).alias("a"), (F.col("_stops") + F.col("stops")).alias("b"))
+    first, last, ended = F.max(F.when(F.col("is_end") == 0, F.col("a"))), F.max(F.when(F.col("is_end") == 1, F.col("a"))), F.max(F.when(F.col("is_end") == 0, F.col("b")))
+    return e.groupBy(F.col("_key").alias(key)).agg(first.alias("position"), last.alias("last_position"), (last - ended - 1).alias("n_overlaps"))
 
 
 def compaction_pick(index: DataFrame, key: str, least: int = 3) -> DataFrame:
     """The segment with most overlaps (ties: lowest key) and its partners, if they are `least` or more; else no rows."""
-    pairs = overlap_pairs(index, key)
-    top = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(1).where(F.col("n") + 1 >= least)
-    partners = pairs.join(F.broadcast(top), key).select(F.col("other").alias(key))
-    return top.select(key).unionByName(partners)
+    top = overlap_runs(index, key).orderBy(F.desc("n_overlaps"), key).first()
+    if top is None or top.n_overlaps + 1 < least:
+        return index.where("false").select(key)
+    # one row, by a key that is unique
+    ends = index.where(F.col(key) == F.lit(top[key])).select("low", "high").first()
+    return index.where(f"{key} is not null and low is not null and high is not null").where(overlap(F.col("low"), F.col("high"), F.lit(ends.low), F.lit(ends.high))).select(key)
 
 
 def islands(index: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """index with `island`: segments in order of low end; one begins a new island if it begins after all before it have ended."""
-    by = Window.partitionBy(*(group or [])).orderBy("low", "high")
-    d = index.withColumn("_before", F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("low") > F.col("_before")), 1).otherwise(0))
-    return d.withColumn("island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_before", "_new")
+    """index with `island`: segments in order of low end; one begins a new island if it begins after all before it have ended.
+
+    Islands are numbered in each group (all segments are one without). The order is taken in parts, and what a part needs of the parts
+    before it is one row a part and group, so no group is one task's. Rows with a null bound are left out.
+    """
+    keys = group or []
+    d = ordered_parts(index.where("low is not null and high is not null"), "islands", *keys, "low", "high")
+    by = Window.partitionBy("_part", *keys).orderBy("low", "high")
+    over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part and group
+
+    def carried(d: DataFrame, value: Column, total) -> DataFrame:
+        c = d.groupBy("_part", *keys).agg(value.alias("_carry")).withColumn("_carry", total(F.col("_carry")).over(over))
+        same = F.col("d._part") == F.col("c._part")
+        for k in keys:
+            same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
+        return d.alias("d").join(c.alias("c"), same).select("d.*", "c._carry")
+
+    d = carried(d, F.max("high"), F.max)
+    before = F.greatest(F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    d = d.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col("low") > F.col("_before")), 1).otherwise(0)).drop("_before", "_carry")
+    d = carried(d, F.sum("_new"), F.sum)
+    island = F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_carry", F.lit(0))
+    return d.withColumn("island", island.cast("bigint")).drop("_part", "_new", "_carry")
 
 
 def first_sequential(index: DataFrame, key: str, size: str, target: int, least: int = 2) -> DataFrame:

@@ -35,8 +35,8 @@ class LogStore:
         return files.listing(self.spark, self.folder).where("low is not null")
 
     def quarantined(self) -> DataFrame:
-        """Files whose names are no segments; a read leaves them alone."""
-        return files.listing(self.spark, self.folder).where("low is null").select("path", "size_bytes")
+        """Files whose names are no segments (nor those of files being written); a read leaves them alone."""
+        return files.listing(self.spark, self.folder).where("low is null and not endswith(path, '.active')").select("path", "size_bytes")
 
     def query(self, q: LogQuery, extra: Column | None = None) -> DataFrame:
         """Matching records in order, without duplicates, whichever segments hold them."""
@@ -58,15 +58,30 @@ class LogStore:
 
     # --- writing ---
 
-    def append(self, records: DataFrame, target: int = TARGET_SIZE) -> int:
-        """Write records (ulid, raw) as new segments; how many segments."""
-        return written(files.write(records, self.folder, target), "segments").count()
+    def append(self, records: DataFrame, target: int = TARGET_SIZE, durable: bool = False) -> int:
+        """Write records (ulid, raw) as new segments; how many segments. Nothing that is there is lost: see files.put_in_place."""
+        return written(files.write(records, self.folder, target, durable=durable), "segments").count()
 
     def _rename(self, path: str, state: str) -> str:
         to = f"{path.rpartition('.')[0]}.{state}"
-        self.fs.move(path, to)
+        files.put_in_place(self.fs, path, to)
         return to
 
+    # --- one consumer at a time takes segments on, oldest first ---
+
+    def claim(self) -> str | None:
+        """Claim the flushed segment that was written first: it is `pending`, and not queried, until commit() or release(). None: there is none."""
+        top = self.index().where("state = 'flushed'").agg(F.min_by("path", F.struct("mtime_ms", "path")).alias("path")).first().path
+        return top and self._rename(top, "pending")
+
+    def commit(self, path: str) -> None:
+        """What was claimed has been taken over elsewhere: it goes."""
+        self.fs.delete_file(path)
+
+    def release(self, path: str) -> str:
+        """What was claimed could not be taken over: it is flushed again."""
+        return self._rename(path, "flushed")
+
     def compact(self, paths: list[str], target: int = TARGET_SIZE) -> int:
         """Merge segments into as many as their size needs; inputs go when the outputs are complete, and come back if it fails.
 
@@ -100,36 +115,44 @@ class LogStore:
         return [r.path for r in segments.first_sequential(self.index().where("state = 'flushed'"), "path", "size_bytes", target, least).orderBy("position").collect()]
 
     def trash(self, now_ms: int, retain_ms: int = RETAIN_MS) -> int:
-        """Move flushed segments that ended before now - retain to the trash. Their file time is that of the move."""
-        old = [r.path for r in segments.expired(self.index().where("state = 'flushed'"), max(0, now_ms - retain_ms)).collect()]
-        for p in old:
-            to = f"{p.rpartition('.')[0]}.trashed"
-            self.fs.copy_file(p, to)
-            self.fs.delete_file(p)
-        return len(old)
+        """Rename flushed segments that ended before now - retain to the trash, by tasks. When that was is noted first, in the table _trash."""
+        old = segments.expired(self.index().where("state = 'flushed'"), max(0, now_ms - retain_ms)).select("path")
+        note = f"{self.folder}/_trash/moved_ms={now_ms}"
+        old.write.mode("append").parquet(note)
+
+        def move(fs: pafs.FileSystem, path: str) -> bool:
+            files.put_in_place(fs, path, f"{path.rpartition('.')[0]}.trashed")
+            return True
+
+        return files.per_file(self.spark.read.parquet(note).distinct(), self.folder, move)
+
+    def trashed(self) -> DataFrame:
+        """The segments in the trash with trashed_ms: when they were moved there; where that isn't known, when they were written."""
+        d = self.index().where("state = 'trashed'").withColumn("_base", F.regexp_replace("path", "\\.[a-z]+$", ""))
+        if self.fs.get_file_info(f"{self.root}/_trash").type != pafs.FileType.Directory:
+            return d.withColumn("trashed_ms", F.col("mtime_ms")).drop("_base")
+        notes = self.spark.read.schema("path string, moved_ms bigint").parquet(f"{self.folder}/_trash")
+        notes = notes.groupBy(F.regexp_replace("path", "\\.[a-z]+$", "").alias("_base")).agg(F.max("moved_ms").alias("moved_ms"))
+        return d.join(notes, "_base", "left").withColumn("trashed_ms", F.coalesce("moved_ms", "mtime_ms")).drop("_base", "moved_ms")
 
     def purge(self, now_ms: int, purge_ms: int = PURGE_MS) -> int:
-        """Delete segments that were trashed before now - purge."""
-        old = [r.path for r in segments.purgeable(self.index(), now_ms - purge_ms, "mtime_ms").collect()]
-        for p in old:
-            self.fs.delete_file(p)
-        return len(old)
+        """Delete segments that were trashed before now - purge, by tasks; then the notes of that time."""
+
+        def delete(fs: pafs.FileSystem, path: str) -> bool:
+            fs.delete_file(path)
+            return True
+
+        n = files.per_file(segments.purgeable(self.trashed(), now_ms - purge_ms), self.folder, delete)
+        for f in self.fs.get_file_info(pafs.FileSelector(f"{self.root}/_trash", allow_not_found=True)):
+            if f.base_name.startswith("moved_ms=") and int(f.base_name[9:]) < now_ms - purge_ms:
+                self.fs.delete_dir(f.path)
+        return n
 
     def recover(self) -> int:
-        """After a crash: files that were being written get their range as name, those being compacted are flushed again."""
-        done = 0
-        for f in self.fs.get_file_info(pafs.FileSelector(self.root)):
-            if f.base_name.endswith(".reading"):
-                self._rename(f.path, "flushed")
-                done += 1
-        active = [f.path for f in self.fs.get_file_info(pafs.FileSelector(self.root)) if f.base_name.endswith(".active")]
-        if active:
-            d = files.take_apart(self.spark.read.option("lineSep", "\n").text([self._uri(p) for p in active]).select("value", F.col("_metadata.file_name").alias("name")))
-            ends = d.where("not bad").groupBy("name").agg(F.min("ulid").alias("low"), F.max("ulid").alias("high"))
-            for r in ends.collect():  # one row a file
-                self.fs.move(f"{self.root}/{r.name}", f"{self.root}/{r.low}-{r.high}.flushed")
-                done += 1
-        return done
+        """After a crash, when nothing else runs: files that were being written get their range as name, those being compacted or taken on
+        are flushed again; by tasks. How many files. Readers drop what is then there twice."""
+        left = files.listing(self.spark, self.folder).where("endswith(path, '.active') or state in ('reading', 'pending')")
+        return files.per_file(written(left.select("path"), "recover").repartition("path"), self.folder, files.recover_file)
 
     def run_once(self, now_ms: int | None = None, target: int = TARGET_SIZE) -> tuple[str, int]:
         """One turn of upkeep: overlapping, sequential, trash and purge, one after the other."""

@@ -187,12 +187,9 @@ def segment_bad_names(spark: SparkSession, folder: str) -> DataFrame:
     return segments.with_name(table(spark, folder, "read_segments").select("seg_no", "path")).where("low is null").select("seg_no", "path")
 
 
-def segment_overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.overlap_pairs(lane_index(spark, folder), "segment")
-
-
-def segment_overlap_count(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.overlap_counts(lane_index(spark, folder), "segment")
+def segment_overlap_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of segments that overlap, as a run of followers for each."""
+    return segments.overlap_runs(lane_index(spark, folder), "segment")
 
 
 def segment_overlap_pick(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +197,7 @@ def segment_overlap_pick(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_islands(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.islands(lane_index(spark, folder).where("bucket % 5 != 0")).select("segment", "island")
+    return segments.islands(lane_index(spark, folder), ["lane"]).select("segment", "island")
 
 
 def segment_bin_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,10 +275,11 @@ def forward_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live_query_fanout(spark: SparkSession, folder: str) -> DataFrame:
-    """Each record to each registered query that it matches. Queries are few and given: one predicate each, one pass over the records."""
-    registered = {1: "error", 2: '"k": 1', 3: "e"}
-    hits = F.filter(F.array(*[F.when(search.matches(LogQuery(q=q), F.col("body")), F.lit(k)) for k, q in registered.items()]), lambda x: x.isNotNull())
-    return event_records(spark, folder).select(F.explode(hits).alias("query_id"), "ulid")
+    """Each record to each registered query that it matches."""
+    live = tail.Registry()
+    for name, q in {"errors": "error", "ones": '"k": 1', "most": "e"}.items():
+        live.register(name, LogQuery(q=q))
+    return live.match(event_records(spark, folder)).select("query", "ulid")
 
 
 def logs_by_hour(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,9 +314,18 @@ def _to_the_end(stream: DataFrame, what: str) -> DataFrame:
 
 
 def stream_grep(spark: SparkSession, folder: str) -> DataFrame:
-    """A live query without repeats: Spark's own operator for copies that are the same."""
-    d = _stream(spark, folder).where("arrival = 0").unionByName(_stream(spark, folder).where("arrival = 0"))
-    return _to_the_end(tail.distinct_stream(d.where(search.matches(LogQuery(q="error"), F.col("body"))).select("ulid", "body"), "40 days"), "stream-grep")
+    """A live query without repeats over both copies of each record: Spark's own operator, which keeps any one of them."""
+    d = _stream(spark, folder).where(search.matches(LogQuery(q="error"), F.col("body"))).withColumn("body", F.regexp_replace("body", " #1$", ""))
+    return _to_the_end(tail.distinct_stream(d.select("ulid", "body"), "40 days"), "stream-grep")
+
+
+def stream_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """A tail by event time: of the two copies the last counts, once the window of an hour has passed it."""
+    out = shared_dir(spark, "stream-tail")
+    stream = tail.tail(_stream(spark, folder), LogQuery(q="error"), "1h", event_time=True)
+    q = tail.in_order(stream, lambda d, n: d.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{out}-check", availableNow=True)
+    q.awaitTermination()
+    return spark.read.schema("ulid string, body string").parquet(out).select("ulid", "body")
 
 
 def stream_by_hour(spark: SparkSession, folder: str) -> DataFrame:
@@ -332,10 +339,10 @@ NAMES = [
     "grep_plain_bounded", "grep_range_sargable", "grep_regex", "grep_regex_unbounded", "grep_topic", "grep_id_not_matched", "render_raw", "render_strip", "render_time",
     "ulid_encode", "ulid_decode", "highlight", "json_post_filter", "documents_grep", "documents_regex_b", "documents_regex_i", "documents_regex_posix", "split_lines",
     "replica_merge", "replica_merge_bounded", "replica_under_replicated", "replica_stats_merge", "merge_accounting", "tail_last_wins",
-    "segment_index", "segment_prune", "segment_prune_stats", "segment_range_overlap", "segment_names", "segment_bad_names", "segment_overlap_pairs", "segment_overlap_count",
+    "segment_index", "segment_prune", "segment_prune_stats", "segment_range_overlap", "segment_names", "segment_bad_names", "segment_overlap_runs",
     "segment_overlap_pick", "segment_islands", "segment_bin_pack", "segment_roll", "store_stats", "ingest_stats", "retention_trash", "retention_purge", "oldest_flushed",
     "human_size", "recovered_index", "batch_outcomes", "topic_validate", "topic_static", "forward_prefix", "live_query_fanout", "logs_by_hour", "logs_sessions",
-    "stream_grep", "stream_by_hour",
+    "stream_grep", "stream_tail", "stream_by_hour",
 ]
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -397,12 +404,12 @@ SQL = {
     "segment_range_overlap": f"with {_INDEX} select segment, {_HIT} as hit from idx",
     "segment_names": f"with {_NAMES} select seg_no, volume, low, high, state from named",
     "segment_bad_names": f"with {_NAMES} select seg_no, path from named where low is null",
-    "segment_overlap_pairs": f"with {_PAIRS} select segment, other from pairs",
-    "segment_overlap_count": f"with {_PAIRS} select segment, (select count(*) from pairs p where p.segment = idx.segment) as n_overlaps from idx",
+    "segment_overlap_runs": f"""with {_PAIRS}, n as (select segment, count(*) as n from pairs group by 1), p as (select segment, low, high, row_number() over (order by low, segment) as position from idx)
+        select p.segment, position, (select max(o.position) from p o where o.low <= p.high) as last_position, coalesce(n, 0) as n_overlaps from p left join n using (segment)""",
     "segment_overlap_pick": f"""with {_PAIRS}, top as (select segment from (select segment, count(*) as n from pairs group by 1) where n >= 2 order by n desc, segment limit 1)
         select segment from top union all select other from pairs join top using (segment)""",
-    "segment_islands": f"""with {_INDEX}, i as (select *, max(high) over (order by low, high rows between unbounded preceding and 1 preceding) as before from idx where bucket % 5 != 0)
-        select segment, (sum(case when before is null or low > before then 1 else 0 end) over (order by low, high rows unbounded preceding))::bigint as island from i""",
+    "segment_islands": f"""with {_INDEX}, i as (select *, max(high) over (partition by lane order by low, high rows between unbounded preceding and 1 preceding) as before from idx)
+        select segment, (sum(case when before is null or low > before then 1 else 0 end) over (partition by lane order by low, high rows unbounded preceding))::bigint as island from i""",
     "segment_bin_pack": f"""with recursive {_INDEX}, o as (select segment, size_bytes as s, row_number() over (order by low, segment) as n from idx),
         fold(n, first, total, done) as (select 0::bigint, 1::bigint, 0::bigint, false union all
             select o.n, case when total + s <= {PACK_BYTES} or o.n - first >= 2 then first when s <= {PACK_BYTES} then o.n else o.n + 1 end,
@@ -431,9 +438,10 @@ SQL = {
         select event_id, topic, coalesce(regexp_full_match(topic, '[a-zA-Z0-9][a-zA-Z0-9_-]*'), false) as topic_ok from t""",
     "topic_static": f"with {REC} select event_id, 'events-a ' || payload as body from rec",
     "forward_prefix": f"with {REC} select event_id, 'web eu ' || payload as value from rec",
-    "live_query_fanout": f"with {REC}, q(query_id, q) as (values (1, 'error'), (2, '\"k\": 1'), (3, 'e')) select query_id, ulid from rec join q on contains(body, q)",
+    "live_query_fanout": f"with {REC}, q(query, q) as (values ('errors', 'error'), ('ones', '\"k\": 1'), ('most', 'e')) select query, ulid from rec join q on contains(body, q)",
     "logs_by_hour": f"with {REC} select topic, ms // 3600000 as hour, count(*) as n, count(distinct json_extract_string(payload, '$.k')) as n_k from rec group by 1, 2",
     "stream_grep": f"with {REC} select ulid, body from rec where contains(body, 'error')",
+    "stream_tail": f"with {REC} select ulid, body || ' #1' as body from rec where contains(body, 'error') and ms < (select max(ms) from rec where contains(body, 'error')) - 3600000",
     "stream_by_hour": f"with {REC} select ms // 3600000 as hour, topic, 2 * count(*) as n from rec where (ms // 3600000 + 1) * 3600000 <= (select max(ms) from rec) - 3600000 group by 1, 2",
     "logs_sessions": """with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events),
         s as (select user_id, ts, sum(case when p is null or ts - p >= interval 6 hours then 1 else 0 end) over (partition by user_id order by ts, p rows unbounded preceding) as k from e)

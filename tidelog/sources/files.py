@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -14,6 +18,7 @@ from tidelog.operators import segments
 
 # Fixed value: the name of a segment file.
 NAME = r"^[0-7][0-9A-HJKMNP-TV-Z]{25}-[0-7][0-9A-HJKMNP-TV-Z]{25}\.[a-z]+\z"
+_ULID = re.compile(U.ULID_PATTERN)
 
 
 def take_apart(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -49,47 +54,149 @@ def read(spark: SparkSession, folder: str, low: str | None = None, high: str | N
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a folder with path, size and modification time: names only, no content."""
+    """The files of a folder with path, size and modification time: names only, no content (one short row a file, as for any read of the folder)."""
     fs, root = pafs.FileSystem.from_uri(folder)
-    rows = [(f.path, f.size, int(f.mtime_ns // 1_000_000) if f.mtime_ns else None) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.type == pafs.FileType.File]
-    d = spark.createDataFrame(rows, "path string, size_bytes bigint, mtime_ms bigint")
+    found = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.type == pafs.FileType.File]
+    rows = pa.table({
+        "path": pa.array([f.path for f in found], pa.string()),
+        "size_bytes": pa.array([f.size for f in found], pa.int64()),
+        "mtime_ms": pa.array([f.mtime_ns // 1_000_000 if f.mtime_ns else None for f in found], pa.int64()),
+    })
     # files here need no volume in their path
-    return segments.with_name(d)
+    return segments.with_name(spark.createDataFrame(rows))
+
+
+def _lines(fs: pafs.FileSystem, path: str) -> Iterator[bytes]:
+    """Lines of a file with their line ends; one that is cut off has none."""
+    with fs.open_input_stream(path) as f:
+        rest = b""
+        while chunk := f.read(1 << 20):
+            *whole, rest = (rest + chunk).split(b"\n")
+            for line in whole:
+                yield line + b"\n"
+        if rest:
+            yield rest
+
+
+def _same(fs: pafs.FileSystem, a: str, b: str) -> bool:
+    if fs.get_file_info(a).size != fs.get_file_info(b).size:
+        return False
+    with fs.open_input_stream(a) as x, fs.open_input_stream(b) as y:
+        while True:
+            one, other = x.read(1 << 20), y.read(1 << 20)
+            if one != other:
+                return False
+            if not one:
+                return True
+
+
+def put_in_place(fs: pafs.FileSystem, path: str, name: str) -> None:
+    """Give a finished segment file its name. A file that has that name already is never lost: the same content is an earlier attempt's,
+    other content is merged with it in order (records of the one that was there come first, and count where identifiers are equal)."""
+    if path == name:
+        return
+    if fs.get_file_info(name).type == pafs.FileType.NotFound:
+        fs.move(path, name)
+        return
+    if not _same(fs, path, name):
+        both = f"{name}.{uuid.uuid4().hex}.active"
+        last = None
+        try:
+            with fs.open_output_stream(both) as out:
+                for line in heapq.merge(_lines(fs, name), _lines(fs, path), key=lambda x: x[:26].upper()):
+                    if line[:26].upper() != last or len(line) < 28:
+                        out.write(line if line.endswith(b"\n") else line + b"\n")
+                    last = line[:26].upper()
+        except BaseException:
+            fs.delete_file(both)
+            raise
+        fs.move(both, name)
+    fs.delete_file(path)
+
+
+def recover_file(fs: pafs.FileSystem, path: str) -> bool:
+    """After a crash: a file that was being written gets its range as name, without a last line that is cut off; one in another state is
+    flushed again. Whether that was done (a file without any record stays)."""
+    if not path.endswith(".active"):
+        put_in_place(fs, path, f"{path.rpartition('.')[0]}.flushed")
+        return True
+    low = high = None
+    cut = False
+    for line in _lines(fs, path):
+        cut = not line.endswith(b"\n")
+        name = line[:26].decode("ascii", "replace").upper()
+        if not cut and line[26:27] == b" " and _ULID.fullmatch(name):
+            low, high = min(low or name, name), max(high or name, name)
+    if low is None:
+        return False
+    if cut:
+        whole = f"{path}.{uuid.uuid4().hex}.active"
+        with fs.open_output_stream(whole) as out:
+            for line in _lines(fs, path):
+                if line.endswith(b"\n"):
+                    out.write(line)
+        fs.delete_file(path)
+        path = whole
+    put_in_place(fs, path, f"{path.rpartition('/')[0]}/{low}-{high}.flushed")
+    return True
+
+
+def per_file(paths: DataFrame, folder: str, act: Callable[[pafs.FileSystem, str], bool]) -> int:
+    """Do something with each file of a table (path), in tasks; for how many it was done. A task that is run again must do no harm."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            done = [act(fs, p) for p in b.column("path").to_pylist() if fs.get_file_info(p).type == pafs.FileType.File]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(done)], pa.int64())], ["n"])
+
+    return paths.select("path").mapInArrow(apply, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
-def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str = "flushed") -> DataFrame:
+
+def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str = "flushed", durable: bool = False) -> DataFrame:
     """Records (ulid, raw) as segment files of about `target` bytes; low, high, n_records and n_bytes of each file.
 
     Every task gets a range of identifiers and writes it in order, dropping repeats, into files that are closed by the record with
-    which they reach the target; a file is complete before it has its name, and a repeated attempt gives the same names and contents.
+    which they reach the target; a file is complete before it has its name (see put_in_place), and is deleted if the task fails. What
+    a killed task leaves ends in `.active`, which no reader takes and LogStore.recover() knows. durable: files are on disk, not only in
+    the system's buffers, before they have a name (local and mounted folders; object stores and HDFS do it anyway).
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(folder)
-        temporary = f"{root}/.{TaskContext.get().stageId()}-{TaskContext.get().taskAttemptId()}.active"
+        temporary = f"{root}/{TaskContext.get().stageId()}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.active"
         sink, low, last, n, size = None, "", "", 0, 0
 
         def close() -> pa.RecordBatch:
             sink.close()
-            fs.move(temporary, f"{root}/{low}-{last}.{state}")
+            if durable and isinstance(fs, pafs.LocalFileSystem):
+                with open(temporary, "rb") as f:
+                    os.fsync(f.fileno())
+            put_in_place(fs, temporary, f"{root}/{low}-{last}.{state}")
             return pa.RecordBatch.from_pylist([{"low": low, "high": last, "n_records": n, "n_bytes": size}])
 
-        for b in batches:
-            for u, raw in zip(b.column("ulid").to_pylist(), b.column("raw").to_pylist()):
-                if u == last:
-                    continue
-                if sink is None:
-                    sink, low, n, size = fs.open_output_stream(temporary), u, 0, 0
-                line = raw.encode() + b"\n"
-                sink.write(line)
-                last, n, size = u, n + 1, size + len(line)
-                if size >= target:
-                    yield close()
-                    sink = None
-        if sink is not None:
-            yield close()
+        try:
+            for b in batches:
+                for u, raw in zip(b.column("ulid").to_pylist(), b.column("raw").to_pylist()):
+                    if u == last:
+                        continue
+                    if sink is None:
+                        sink, low, n, size = fs.open_output_stream(temporary), u, 0, 0
+                    line = raw.encode() + b"\n"
+                    sink.write(line)
+                    last, n, size = u, n + 1, size + len(line)
+                    if size >= target:
+                        yield close()
+                        sink = None
+            if sink is not None:
+                yield close()
+                sink = None
+        finally:
+            if sink is not None and fs.get_file_info(temporary).type == pafs.FileType.File:
+                sink.close()
+                fs.delete_file(temporary)
 
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
