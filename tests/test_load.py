@@ -7,7 +7,7 @@ import pytest
 from tidelog.operators import load as L
 
 TOPICS = [("app", "log", None), ("m", "csv", "at:timestamp,host:word,value:decimal,note:text?"), ("n", "csv", "k:int,day:date,ok:bool"), ("j", "json", "seq:int,sku:text,price:decimal,on:bool,day:date")]
-U = "01BC3NABW20000000000000000"
+U = "01F8MECHZX0000000000000000"
 
 
 @pytest.fixture(scope="module")
@@ -110,7 +110,7 @@ def test_blocks_give_what_single_rows_give(bad_share):
         payload.append(p)
     got = L.payload_reasons(pa.array(topic), pa.array(payload), layouts).to_pylist()
     for t, p, g in zip(topic, payload, got):
-        want = None if t == "app" else (L.diagnose_csv if layouts[t][0] == "csv" else L.diagnose_json)(p, layouts[t][1])
+        want = None if t == "app" else L.diagnose(p, *layouts[t])
         assert g == want, (t, p)
 
 
@@ -130,3 +130,42 @@ def test_too_many_topics(spark, monkeypatch, topics):
     monkeypatch.setattr(L, "MAX_TOPICS", 2)
     with pytest.raises(ValueError):
         L.read_layouts(topics)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_optional_keys_in_blocks(seed):
+    """Keys that lack, come twice, or look like text: in a block each row is what it is alone."""
+    rng = random.Random(seed)
+    layout = L.Layout("a:int,b:text?,c:decimal?")
+    values = {"a": ["1", "null", "7"], "b": ['"x"', "null", '""', r'"x\":y"', r'"\"b\":1"', r'"\\"', '"a"', r'"\u0022c\u0022:"'], "c": ["1.50", "null", "-3e2", "12345678901234567890.1"]}
+    rows = []
+    for _ in range(400):
+        keys = rng.choice(["abc", "abc", "abc", "cba", "ab", "ac", "a", "aabc", "aab", "abbc", "abd"])
+        pair = [f'"{k}"{rng.choice([":", ":", ": ", " :"])}{rng.choice(values.get(k, ["1"]))}' for k in keys]
+        rows.append("{" + ",".join(pair) + "}")
+    rows += [r'{"\u0061":1,"b":null,"c":null}', '{"a":1}', r'{"a":1,"b":"x\":y"}']
+    reasons, columns = L.payload_columns(pa.array(rows), "json", layout)
+    for k, text in enumerate(rows):
+        want = L.read_json_row(text, layout)
+        assert reasons[k].as_py() == (want if isinstance(want, str) else None), text
+        assert [c[k].as_py() for c in columns] == ([None] * 3 if isinstance(want, str) else [v or None for v in want]), text
+    assert {r.as_py() for r in reasons} >= {None, "columns", "value"}
+
+
+def test_a_table_with_types(spark, topics):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    d = spark.createDataFrame([(k, i, r, "clash") for k, (r, i, _) in enumerate(CASES)], "row_id bigint, id string, record string, value string")
+    m = L.loaded_table(d, topics, "m")
+    assert m.dtypes == [("row_id", "bigint"), ("value", "string"), ("ulid", "string"), ("at", "timestamp"), ("host", "string"), ("m.value", "decimal(38,18)"), ("note", "string")]
+    rows = m.orderBy("row_id").collect()
+    assert len(rows) == 2 and rows[0][3:] == (datetime(2020, 1, 2, 3, 4, 5), "h1", Decimal("1.5"), None)
+    assert rows[1][3:] == (datetime(2020, 1, 1, 21, 34, 5, 123456), "h1", Decimal("-.5"), 'a, "b"')
+    j = L.loaded_table(d, topics, "j").collect()
+    assert len(j) == 3 and all((r.seq, r.sku, r.on, r.day) == (1, 'a "b"', True, date(2020, 2, 29)) for r in j) and {r.price for r in j} == {Decimal("1.5"), Decimal(3)}
+    assert L.loaded_table(d, topics, "n").first().k == 2**63 - 1
+    assert L.loaded_table(d, topics, "app").columns == ["row_id", "value", "ulid", "payload"] and L.loaded_table(d, topics, "app").count() == 4
+    leap = spark.createDataFrame([(1, U, f"{U} m 2016-12-31T23:59:60Z,h,1,x")], "row_id bigint, id string, record string")
+    assert L.loaded_table(leap, topics, "m").first().at == datetime(2017, 1, 1)
+    assert L.loaded_table(d.where("false"), topics, "m").count() == 0

@@ -3,7 +3,8 @@
 Method: the identifier, topic and shape of a record are JVM expressions. Payloads with a layout go, topic by topic, as
 whole blocks through pyarrow's CSV and JSON readers; a block that does not parse, or whose columns break their types,
 is halved again and again until its bad records stand alone, and each of those is then diagnosed strictly, character by
-character. A row's result depends on that row only, so there is no shuffle, and any split of the input gives the same.
+character. A row's result depends on that row only, so there is no shuffle, and any split of the input gives the same. The columns
+that the block reader has made are the loaded table of a topic (loaded_table).
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import json
 import re
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pv
 import pyarrow.json as pj
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import ulid as U
@@ -86,8 +88,8 @@ def is_value(text: str, kind: str) -> bool:
     return True
 
 
-def diagnose_csv(payload: str, layout: Layout) -> str | None:
-    """Strict reading of one CSV payload: the reason it is bad, or None."""
+def read_csv_row(payload: str, layout: Layout) -> str | list[str]:
+    """Strict reading of one CSV payload: its fields, or the reason it is bad."""
     if not _CSV_ROW.fullmatch(payload):
         return "quoting"
     fields, at, quoted = [""], 0, False
@@ -108,15 +110,18 @@ def diagnose_csv(payload: str, layout: Layout) -> str | None:
     for value, kind, optional in zip(fields, layout.types, layout.optional):
         if not (optional and value == "") and not (is_value(value, kind) and (value or optional)):
             return "value"
-    return None
+    return fields
 
 
 class _Number(str):
     """A JSON number as it is written."""
 
 
-def diagnose_json(payload: str, layout: Layout) -> str | None:
-    """Strict reading of one JSON payload: the reason it is bad, or None. Keys given twice count as a wrong number of keys."""
+def read_json_row(payload: str, layout: Layout) -> str | list[str]:
+    """Strict reading of one JSON payload: its values as text in the layout's order ('' for null), or the reason it is bad.
+
+    Keys given twice count as a wrong number of keys.
+    """
     if not payload.strip():
         return "columns"
     try:
@@ -143,7 +148,13 @@ def diagnose_json(payload: str, layout: Layout) -> str | None:
             fine = type(v) is str and is_value(v, kind) and (v != "" or optional)
         if not fine:
             return "value"
-    return None
+    return ["" if got[n] is None else str(got[n]).lower() if k == "bool" else str(got[n]) for n, k in zip(layout.names, layout.types)]
+
+
+def diagnose(payload: str, form: str, layout: Layout) -> str | None:
+    """The reason that one payload is bad, or None."""
+    got = (read_csv_row if form == "csv" else read_json_row)(payload, layout)
+    return got if isinstance(got, str) else None
 
 
 def _refuse(text: str) -> None:
@@ -169,10 +180,10 @@ def _forms_hold(column: pa.ChunkedArray, kind: str, optional: bool) -> bool:
     return True
 
 
-def _csv_block(block: pa.Array, layout: Layout) -> bool:
-    """Whether a whole block of CSV payloads is good, by the columnar reader."""
+def _csv_block(block: pa.Array, layout: Layout) -> pa.Table | None:
+    """A whole block of CSV payloads by the columnar reader, every column as text; None if one of them is bad."""
     if not _all(pc.match_substring_regex(block, _CSV_SHAPE)) or _all(pc.equal(block, "")):
-        return False
+        return None
     data = pc.binary_join(pa.ListArray.from_arrays([0, len(block)], block), "\n")[0].as_py().encode()
     t = pv.read_csv(
         pa.BufferReader(data),
@@ -180,34 +191,43 @@ def _csv_block(block: pa.Array, layout: Layout) -> bool:
         parse_options=pv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False),
         convert_options=pv.ConvertOptions(column_types=dict.fromkeys(layout.names, pa.string()), strings_can_be_null=False),
     )
-    return t.num_rows == len(block) and all(_forms_hold(t[n], k, o) for n, k, o in zip(layout.names, layout.types, layout.optional))
+    return t if t.num_rows == len(block) and all(_forms_hold(t[n], k, o) for n, k, o in zip(layout.names, layout.types, layout.optional)) else None
 
 
 # The JSON reader's type for each type of a layout.
 _JSON_TYPES = {"int": pa.int64(), "decimal": pa.float64(), "bool": pa.bool_()}
 
 
-def _json_block(block: pa.Array, layout: Layout) -> bool:
-    """Whether a whole block of JSON payloads is good, by the columnar reader."""
+def _has_each_key_once(block: pa.Array, layout: Layout) -> pa.Array:
+    """Of each JSON payload whether it shows each key just once. Without its escapes, a quote and a colon are in an object's keys only; a
+    key that is spelled otherwise (escaped, or with a space before the colon) counts as not shown."""
+    bare = pc.replace_substring_regex(block, r"\\.", "")
+    out = pa.array([True] * len(block), pa.bool_())
+    for name in layout.names:
+        out = pc.and_(out, pc.equal(pc.count_substring(bare, f'"{name}":'), 1))
+    return out
+
+
+def _json_block(block: pa.Array, layout: Layout) -> pa.Table | None:
+    """A whole block of JSON payloads (each with each key once) by the columnar reader; None if one of them is bad."""
     if not _all(pc.starts_with(block, "{")):
-        return False
+        return None
     data = pc.binary_join(pa.ListArray.from_arrays([0, len(block)], block), "\n")[0].as_py().encode()
     schema = pa.schema([(n, _JSON_TYPES.get(k, pa.string())) for n, k in zip(layout.names, layout.types)])
     t = pj.read_json(pa.BufferReader(data), read_options=pj.ReadOptions(use_threads=False, block_size=len(data) + 1), parse_options=pj.ParseOptions(explicit_schema=schema, unexpected_field_behavior="error"))
     if t.num_rows != len(block):
-        return False
+        return None
     for name, kind, optional in zip(layout.names, layout.types, layout.optional):
         if not optional and t[name].null_count:
-            return False
+            return None
         if kind not in _JSON_TYPES and not _forms_hold(t[name].drop_null(), kind, optional):
-            return False
-    # a key that is absent reads as null, one given twice as the last: both show in the count of keys
-    keys = pc.sum(pc.count_substring(block, '":')).as_py() + pc.sum(pc.count_substring_regex(block, r'"\s+:')).as_py()
-    return keys == len(block) * len(layout.names)
+            return None
+    return t
 
 
-def bisect(block: pa.Array, good, diagnose) -> dict[int, str]:
-    """Reasons by position in the block. good(block) is the fast test of a whole block, diagnose(text) the strict one of a record."""
+def bisect(block: pa.Array, good, diagnose, keep=None) -> dict[int, str]:
+    """Reasons by position in the block. good(block) is the fast test of a whole block (false or None where a record is bad),
+    diagnose(text) the strict one of a record. keep(low, high, result) is told of each good block, keep(k, None, text) of good single records."""
     reasons: dict[int, str] = {}
     stack = [(0, len(block))]
     while stack:
@@ -215,43 +235,102 @@ def bisect(block: pa.Array, good, diagnose) -> dict[int, str]:
         if lo >= hi:
             continue
         try:
-            if good(block[lo:hi]):
-                continue
+            got = good(block[lo:hi])
         except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError):
-            pass
-        if hi - lo <= LEAF:
+            got = None
+        if got is not None and got is not False:
+            if keep:
+                keep(lo, hi, got)
+        elif hi - lo <= LEAF:
             for k in range(lo, hi):
                 if reason := diagnose(block[k].as_py()):
                     reasons[k] = reason
+                elif keep:
+                    keep(k, None, block[k].as_py())
         else:
             mid = (lo + hi) // 2
             stack += [(mid, hi), (lo, mid)]
     return reasons
 
 
+def _columns_of(table: pa.Table, layout: Layout, raw: pa.Array) -> list[pa.Array]:
+    """A block's columns as text, null where empty. Decimals of JSON are taken from the payload: the reader's would be binary fractions."""
+    out = []
+    for name, kind in zip(layout.names, layout.types):
+        c = table[name].combine_chunks()
+        if kind == "decimal" and pa.types.is_floating(c.type):
+            bare = pc.replace_substring_regex(raw, r"\\.", "")
+            c = pc.struct_field(pc.extract_regex(bare, rf'"{re.escape(name)}":\s*(?P<v>-?[0-9.eE+-]+|null)'), "v")
+            c = pc.if_else(pc.equal(c, "null"), None, c)
+        elif not pa.types.is_string(c.type):
+            c = c.cast(pa.string())
+        out.append(pc.if_else(pc.equal(c, ""), None, c))
+    return out
+
+
+def payload_columns(payload: pa.Array, form: str, layout: Layout, values: bool = True) -> tuple[pa.Array, list[pa.Array]]:
+    """Of payloads of one topic: the reason of each bad one, and the columns of the good ones as text (null where empty, or bad).
+
+    Null payloads have neither. values: whether the columns are wanted.
+    """
+    n = len(payload)
+    reasons: list[str | None] = [None] * n
+    pieces: list[tuple[np.ndarray, list[pa.Array]]] = []
+    read = (lambda x: read_csv_row(x, layout)) if form == "csv" else (lambda x: read_json_row(x, layout))
+
+    def one(row: int, text: str) -> None:
+        got = read(text)
+        if isinstance(got, str):
+            reasons[row] = got
+        elif values:
+            singles[0].append(row)
+            singles[1].append([v or None for v in got])
+
+    singles: tuple[list, list] = ([], [])
+    rows = np.flatnonzero(payload.is_valid().to_numpy(zero_copy_only=False))
+    mine = payload.take(pa.array(rows))
+    # more than one line isn't for blocks of lines, nor are keys that can't be counted
+    strict = pc.match_substring_regex(mine, r"[\r\n]")
+    if form == "json":
+        strict = pc.or_(strict, pc.invert(_has_each_key_once(mine, layout)))
+    strict = strict.to_numpy(zero_copy_only=False)
+    for k in np.flatnonzero(strict).tolist():
+        one(int(rows[k]), mine[k].as_py())
+    usual = pc.match_substring_regex(mine, layout.usual[form]).to_numpy(zero_copy_only=False)
+    order = np.concatenate([np.flatnonzero(~strict & usual), np.flatnonzero(~strict & ~usual)])
+    rows, mine = rows[order], mine.take(pa.array(order))
+    good = (lambda b: _csv_block(b, layout)) if form == "csv" else (lambda b: _json_block(b, layout))
+    ends = sorted({*range(0, len(mine), BLOCK), int((~strict & usual).sum()), len(mine)})
+    for at, end in zip(ends, ends[1:]):
+
+        def keep(lo: int, hi: int | None, got, at: int = at) -> None:
+            if hi is None:
+                one(int(rows[at + lo]), got)
+            else:
+                pieces.append((rows[at + lo : at + hi], _columns_of(got, layout, mine[at + lo : at + hi])))
+
+        for k, reason in bisect(mine[at:end], good, lambda x: diagnose(x, form, layout), keep if values else None).items():
+            reasons[rows[at + k]] = reason
+    if singles[0]:
+        pieces.append((np.array(singles[0]), [pa.array(c, pa.string()) for c in zip(*singles[1])]))
+    if not values:
+        return pa.array(reasons, pa.string()), []
+    # where each row's values are in the pieces
+    place = np.full(n, -1, np.int64)
+    if pieces:
+        place[np.concatenate([p[0] for p in pieces])] = np.arange(sum(len(p[0]) for p in pieces))
+    where = pa.array(place, mask=place < 0)
+    columns = [pa.concat_arrays([p[1][k] for p in pieces]).take(where) if pieces else pa.nulls(n, pa.string()) for k in range(len(layout.names))]
+    return pa.array(reasons, pa.string()), columns
+
+
 def payload_reasons(topic: pa.Array, payload: pa.Array, layouts: dict[str, tuple[str, Layout]]) -> pa.Array:
     """Reason of each payload, null where it is good; rows with a null topic or payload, and topics without layout, are not looked at."""
-    out: list[str | None] = [None] * len(payload)
+    out = np.full(len(payload), None, object)
     for name in pc.unique(topic).to_pylist():
-        if name not in layouts:
-            continue
-        form, layout = layouts[name]
-        diagnose = (lambda x, y=layout: diagnose_csv(x, y)) if form == "csv" else (lambda x, y=layout: diagnose_json(x, y))
-        rows = pc.indices_nonzero(pc.fill_null(pc.and_(pc.equal(topic, name), pc.is_valid(payload)), False))
-        mine = payload.take(rows)
-        several = pc.match_substring_regex(mine, r"[\r\n]")  # more than one line: not for blocks of lines
-        for k in pc.indices_nonzero(several).to_pylist():
-            out[rows[k].as_py()] = diagnose(mine[k].as_py())
-        lines = pc.indices_nonzero(pc.invert(several))
-        rows, mine = rows.take(lines), mine.take(lines)
-        usual = pc.match_substring_regex(mine, layout.usual[form])
-        order = pa.concat_arrays([pc.indices_nonzero(usual), pc.indices_nonzero(pc.invert(usual))])
-        rows, mine = rows.take(order), mine.take(order)
-        good = (lambda b, y=layout: _csv_block(b, y)) if form == "csv" else (lambda b, y=layout: _json_block(b, y))
-        ends = sorted({*range(0, len(mine), BLOCK), pc.sum(usual).as_py() or 0, len(mine)})
-        for at, end in zip(ends, ends[1:]):
-            for k, reason in bisect(mine[at:end], good, diagnose).items():
-                out[rows[at + k].as_py()] = reason
+        if name in layouts:
+            rows = pc.indices_nonzero(pc.fill_null(pc.equal(topic, name), False))
+            out[rows.to_numpy()] = payload_columns(payload.take(rows), *layouts[name], values=False)[0].to_pylist()
     return pa.array(out, pa.string())
 
 
@@ -263,6 +342,28 @@ def read_layouts(topics: DataFrame) -> tuple[dict[str, str], dict[str, tuple[str
     return {r.topic: r.payload for r in rows}, {r.topic: (r.payload, Layout(r.layout)) for r in rows if r.layout and r.payload in ("csv", "json")}
 
 
+def _taken_apart(records: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """records with ulid, topic, body and form, and _whole: whether topic and payload are there."""
+    kind = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.create_map(F.lit(""), F.lit(""))
+    line = F.regexp_replace(F.regexp_replace("record", f"^{U.AROUND}+", ""), "\r?\n\\z|\r\\z", "")
+    d = records.drop("ulid", "topic", "body", "form", "reason").withColumn("_line", line)
+    d = d.withColumn("_one", F.instr("_line", " "))
+    d = d.withColumn("_rest", F.when(F.col("_one") > 0, F.regexp_replace(F.expr("substring(_line, _one + 1)"), f"^{U.AROUND}+", "")))
+    d = d.withColumn("_two", F.instr("_rest", " "))
+    d = d.withColumn("_whole", F.coalesce(F.col("_two") > 0, F.lit(False)))
+    d = d.withColumn("ulid", U.normal_ulid(F.when(F.col("_one") > 0, F.substring_index("_line", " ", 1)).otherwise(F.col("_line"))))
+    d = d.withColumn("topic", F.when(F.col("_whole"), F.substring_index("_rest", " ", 1)))
+    d = d.withColumn("body", F.when(F.col("_whole"), F.expr("substring(_rest, _two + 1)")))
+    return d.withColumn("form", F.element_at(kind, F.col("topic"))).drop("_line", "_one", "_rest", "_two")
+
+
+def _reason(payload: Column) -> Column:
+    """Reason of a record that is taken apart, given that of its payload."""
+    same = F.col("id").isNull() | F.coalesce(U.normal_ulid(F.col("id")) == F.col("ulid"), F.lit(False))
+    value = F.col("ulid").isNull() | ~same | ~F.col("topic").rlike(f"^{TOPIC}\\z")
+    return F.when(~F.col("_whole"), "columns").when(payload.isNotNull() & (payload != "value"), payload).when(value, "value").otherwise(payload)
+
+
 def load(records: DataFrame, topics: DataFrame) -> DataFrame:
     """All rows of records with ulid, topic, body, form ('log', 'csv', 'json', null for an unknown topic) and reason (null: it loads).
 
@@ -272,31 +373,16 @@ def load(records: DataFrame, topics: DataFrame) -> DataFrame:
     of a topic without layout is not checked. Empty tables give empty results; repeated rows get the same result each.
     """
     forms, layouts = read_layouts(topics)
-    kind = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.create_map(F.lit(""), F.lit(""))
-    made = ("ulid", "topic", "body", "form", "reason")
 
     @F.arrow_udf("string")
     def payload_reason(topic: pa.Array, payload: pa.Array) -> pa.Array:
         return payload_reasons(topic, payload, layouts)
 
-    # else a filter on the reason would be pushed below, and the function called once for each mention
-    payload_reason = payload_reason.asNondeterministic()
-    line = F.regexp_replace(F.regexp_replace("record", f"^{U.AROUND}+", ""), "\r?\n\\z|\r\\z", "")
-    d = records.drop(*made).withColumn("_line", line)
-    d = d.withColumn("_one", F.instr("_line", " "))
-    d = d.withColumn("_rest", F.when(F.col("_one") > 0, F.regexp_replace(F.expr("substring(_line, _one + 1)"), f"^{U.AROUND}+", "")))
-    d = d.withColumn("_two", F.instr("_rest", " "))
-    d = d.withColumn("_whole", F.coalesce(F.col("_two") > 0, F.lit(False)))
-    d = d.withColumn("ulid", U.normal_ulid(F.when(F.col("_one") > 0, F.substring_index("_line", " ", 1)).otherwise(F.col("_line"))))
-    d = d.withColumn("topic", F.when(F.col("_whole"), F.substring_index("_rest", " ", 1)))
-    d = d.withColumn("body", F.when(F.col("_whole"), F.expr("substring(_rest, _two + 1)")))
-    d = d.withColumn("form", F.element_at(kind, F.col("topic")))
+    d = _taken_apart(records, forms)
     checked = F.col("form").isin("csv", "json")
-    d = d.withColumn("_payload", payload_reason(F.when(checked, F.col("topic")), F.when(checked, F.col("body"))))
-    same = F.col("id").isNull() | F.coalesce(U.normal_ulid(F.col("id")) == F.col("ulid"), F.lit(False))
-    value = F.col("ulid").isNull() | ~same | ~F.col("topic").rlike(f"^{TOPIC}\\z")
-    reason = F.when(~F.col("_whole"), "columns").when(F.col("_payload").isNotNull() & (F.col("_payload") != "value"), F.col("_payload")).when(value, "value").otherwise(F.col("_payload"))
-    return d.withColumn("reason", reason).drop("_line", "_one", "_rest", "_two", "_whole", "_payload")
+    # else a filter on the reason would be pushed below, and the function called once for each mention
+    d = d.withColumn("_payload", payload_reason.asNondeterministic()(F.when(checked, F.col("topic")), F.when(checked, F.col("body"))))
+    return d.withColumn("reason", _reason(F.col("_payload"))).drop("_whole", "_payload")
 
 
 def rejected(records: DataFrame, topics: DataFrame) -> DataFrame:
@@ -307,3 +393,36 @@ def rejected(records: DataFrame, topics: DataFrame) -> DataFrame:
 def loaded(records: DataFrame, topics: DataFrame) -> DataFrame:
     """The rows that load, with ulid, topic, body and form."""
     return load(records, topics).where("reason is null").drop("reason")
+
+
+def _typed(text: Column, kind: str) -> Column:
+    """A value of a type's form as that type; a leap second is the second after the one before it."""
+    if kind == "timestamp":
+        at = F.regexp_replace(text, r"^(.{17})60", "$159").try_cast("timestamp")
+        return F.when(F.substring(text, 18, 2) == "60", at + F.expr("interval 1 second")).otherwise(at)
+    return text.try_cast({"date": "date", "int": "bigint", "decimal": "decimal(38,18)", "bool": "boolean"}.get(kind, "string"))
+
+
+def loaded_table(records: DataFrame, topics: DataFrame, topic: str) -> DataFrame:
+    """The rows of one topic that load, as a table: the columns of records (but id and record), ulid, and the layout's columns in their types.
+
+    Values come from the block reader (from the strict one for records that no block took). Timestamps are instants; decimals have 18 places, and one of
+    more than 20 digits before the point is null, as are empty optional values. A topic without layout has the column `payload`. A
+    layout's column that has a name in use already is preceded by the topic and a dot.
+    """
+    forms, layouts = read_layouts(topics)
+    d = _taken_apart(records, forms).where(F.col("topic") == topic)
+    keep = [c for c in d.columns if c not in ("id", "record", "topic", "form", "body", "_whole")]
+    if topic not in layouts:
+        return d.withColumn("reason", _reason(F.lit(None).cast("string"))).where("reason is null").select(*keep, F.col("body").alias("payload"))
+    form, layout = layouts[topic]
+    fields = [f"c{k}" for k in range(len(layout.names))]
+
+    @F.arrow_udf(", ".join(f"{f} string" for f in ["reason", *fields]))
+    def read(payload: pa.Array) -> pa.Array:
+        reason, columns = payload_columns(payload, form, layout)
+        return pa.StructArray.from_arrays([reason, *columns], names=["reason", *fields])
+
+    d = d.withColumn("_p", read.asNondeterministic()(F.col("body")))
+    d = d.withColumn("reason", _reason(F.col("_p.reason"))).where("reason is null")
+    return d.select(*[F.col(c) for c in keep], *[_typed(F.col(f"_p.{f}"), k).alias(f"{topic}.{n}" if n in keep else n) for f, n, k in zip(fields, layout.names, layout.types)])

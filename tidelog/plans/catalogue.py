@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from tidelog.plans import logs, records, stores
 
-QUERIES = logs.QUERIES | stores.QUERIES | {name: getattr(records, name) for name in ("p1_found", "p2_found", "p3_found", "p3_entries", "p4_found", "p4_loaded", "p5_found", "p5_plan")}
+QUERIES = logs.QUERIES | stores.QUERIES | records.QUERIES
 SQL: dict[str, str] = logs.SQL | stores.SQL | records.SQL

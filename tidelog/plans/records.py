@@ -55,6 +55,17 @@ def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", "ulid", "topic", F.col("body").alias("payload"))
 
 
+def p4_table(topic: str):
+    """A query: the loaded table of a topic, with times in microseconds, dates as text and decimals as doubles (for comparison with other engines)."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        d = load.loaded_table(records(spark, folder, "row_id", "id", "record"), table(spark, folder, "topics"), topic).drop("ulid")
+        plain = {"timestamp": lambda c: F.unix_micros(c), "date": lambda c: c.cast("string"), "decimal(38,18)": lambda c: c.cast("double")}
+        return d.select(*[plain.get(kind, lambda c: c)(F.col(name)).alias(name) for name, kind in d.dtypes])
+
+    return query
+
+
 def live_files(spark: SparkSession, folder: str) -> DataFrame:
     """The files that a query may read, as a table: it is read more than once."""
     return written(segments.live(table(spark, folder, "read_segments")), "live")
@@ -120,6 +131,30 @@ def _columns(pattern: str) -> list[str]:
     return out
 
 
+# The tables' layouts, as far as the SQL below needs them: name and type of each column.
+_LAYOUTS = {
+    "metrics": "at:timestamp,host:word,name:word,value:decimal,note:text",
+    "audit": "at:timestamp,actor:word,action:word,target:text,status:int",
+    "tickets": "ticket:int,opened:date,title:text,cost:decimal,owner:word,notes:text",
+    "probe": "at:timestamp,target:word,ok:bool,ms:int",
+    "orders-feed": "seq:int,sku:text,qty:int,price:decimal,placed:timestamp",
+    "profile_log": "user:int,display:text,active:bool,joined:date",
+}
+
+
+def _table_sql(topic: str) -> str:
+    columns = [c.split(":") for c in _LAYOUTS[topic].split(",")]
+    if topic in _CSV:
+        groups = ",".join(f"({c})" for c in _columns(_CSV[topic]))
+        texts = f"regexp_extract(body, '^{groups}$', [{', '.join(repr(n) for n, _ in columns)}])"
+        value = lambda n: f"nullif(case when starts_with(f['{n}'], '\"') then replace(substr(f['{n}'], 2, len(f['{n}']) - 2), '\"\"', '\"') else f['{n}'] end, '')"
+    else:
+        texts, value = "body", lambda n: f"json_extract_string(body, '$.{n}')"
+    form = {"timestamp": "epoch_us(cast({} as timestamptz))", "int": "cast({} as bigint)", "decimal": "cast({} as double)", "bool": "cast({} as boolean)"}
+    got = ", ".join(f'{form.get(k, "{}").format(value(n))} as "{n}"' for n, k in columns)
+    return f"with {_ROWS}, t2 as (select row_id, body, {texts} as f from rows where reason is null and topic = '{topic}') select row_id, {got} from t2"
+
+
 _ROWS = f"""r as (select row_id, src, id, regexp_replace(regexp_replace(record, '^{_AROUND}+', ''), '\\r?\\n$|\\r$', '') as l from merge_records),
     s as (select *, instr(l, ' ') as a from r),
     t as (select *, upper(regexp_replace(case when a > 0 then substr(l, 1, a - 1) else l end, '{_AROUND}+$', '')) as u, case when a > 0 then substr(l, a + 1) end as rest from s),
@@ -141,5 +176,7 @@ SQL = {
         select volume, 'gap', high, n from (select volume, high, lead(low) over (partition by volume order by k) as n from p) where n is not null""",
     "p4_found": f"with {_ROWS} select row_id, reason from rows where reason is not null",
     "p4_loaded": f"with {_ROWS} select row_id, u as ulid, topic, body as payload from rows where reason is null",
+    **{f"p4_table_{t.replace('-', '_')}": _table_sql(t) for t in _LAYOUTS},
     "p5_found": f"with {_FILES} select volume, low, high from live where size < 16777216 qualify count(*) over (partition by volume) > 1",
 }
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_entries, p4_found, p4_loaded, p5_found, p5_plan)} | {f"p4_table_{t.replace('-', '_')}": p4_table(t) for t in _LAYOUTS}
