@@ -47,17 +47,53 @@ def test_batches_one_by_one(spark, tmp_path):
         assert got == {r.row_id for r in D.DedupIndex(spark, path).add(part, k).collect()}  # again: the same, and nothing is taken twice
         lost |= got
     assert lost == brute(rows[:3600])
-    assert max(len(v) for v in D.DedupIndex(spark, path).runs.values()) < D.MERGE_AT
+    levels = [[level for _, level in v] for v in D.DedupIndex(spark, path).runs.values()]
+    assert all(v.count(k) < D.FAN for v in levels for k in v) and any(max(v) >= 1 for v in levels)
+
+
+def test_runs_are_read_back_and_merged(spark, tmp_path):
+    """Of batches with identifiers that all have been seen, every run of every prefix is searched, and FAN of a level become one."""
+    index = D.DedupIndex(spark, f"file://{tmp_path}/index", prefixes=2)
+    ids = [U.encode_ms(k) + "0" * 16 for k in range(400)]
+    seen = []
+    for n in range(2 * D.FAN):
+        # each batch brings its own and better copies of all before it
+        rows = [(x, 10 - n % 10, 1000 * n + k) for k, x in enumerate(ids[: 40 * (n + 1)])]
+        lost = {r.row_id for r in index.add(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert lost == {1000 * (n - 1) + k for k in range(40 * n)}
+        seen.append(index.searched)
+        names = {x for v in index.runs.values() for x, _ in v}
+        assert all((tmp_path / "index" / x).exists() for x in names)
+    assert seen[:D.FAN] == [0, 2, 4, 6] and seen[D.FAN] == 2  # four runs of each prefix have become one
+
+
+@pytest.mark.parametrize("batches", [1, 3, 40])
+def test_superseded_by_batches(spark, batches):
+    rng = random.Random(batches)
+    rows = [(*r, rng.choice([None, *range(batches)])) for r in made(1500, 300, 8, 0.34)]
+    d = spark.createDataFrame(rows, SCHEMA + ", batch_id bigint").repartition(3)
+    d = d.withColumn("epoch", D.epoch_of(d, "batch_id").cast("int"))
+    assert d.select("epoch").distinct().count() == min(batches, D.EPOCHS) or batches == 3
+    assert {r.row_id for r in D.superseded(d).collect()} == brute([r[:3] for r in rows])
+    assert D.superseded(d.where("false")).count() == 0
+
+
+def test_tags_go_with_rows(spark, tmp_path):
+    rows = [(u, s, r, r * 7) for u, s, r in made(2000, 300, 5, 0.2)]
+    index = D.DedupIndex(spark, f"file://{tmp_path}/index", prefixes=4)
+    for part in (rows[:700], rows[700:]):
+        got = [(r.row_id, r.tag) for r in index.add(spark.createDataFrame(part, SCHEMA + ", tag bigint")).collect()]
+        assert got and all(t == r * 7 for r, t in got)
 
 
 def test_look_up_and_merge():
     import numpy as np
 
     ids = lambda *x: np.array(x, "S2")
-    a, lost = D.best_of(ids("b", "a", "b"), np.array([2, 1, 1]), np.array([10, 11, 12]))
-    assert a[0].tolist() == [b"a", b"b"] and a[2].tolist() == [11, 12] and lost.tolist() == [10]
-    run, gone = D.admit([a], ids("b", "c"), np.array([0, 5]), np.array([20, 21]))
-    assert run[2].tolist() == [20, 21] and gone.tolist() == [12]
+    a, lost = D.best_of(ids("b", "a", "b"), np.array([2, 1, 1]), np.array([10, 11, 12]), np.array([5, 6, 7]))
+    assert a[0].tolist() == [b"a", b"b"] and a[2].tolist() == [11, 12] and [x.tolist() for x in lost] == [[10], [5]]
+    run, gone = D.admit([a], ids("b", "c"), np.array([0, 5]), np.array([20, 21]), np.array([8, 9]))
+    assert run[2].tolist() == [20, 21] and [x.tolist() for x in gone] == [[12], [7]]
     assert D.merge([a, run])[2].tolist() == [11, 20, 21]
 
 

@@ -17,9 +17,10 @@ def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every loading row that is not the kept copy of its message."""
-    rows = load.loaded(records(spark, folder, "row_id", "src", "id", "record"), table(spark, folder, "topics"))
-    return dedup.superseded(rows.select("ulid", "src", "row_id"))
+    """Every loading row that is not the kept copy of its message; batches are taken in one range after the other."""
+    raw = table(spark, folder, "merge_records")
+    rows = load.loaded(records(spark, folder, "row_id", "src", "id", "record", "batch_id"), table(spark, folder, "topics"))
+    return dedup.superseded(rows.select("ulid", "src", "row_id", dedup.epoch_of(raw, "batch_id").cast("int").alias("epoch")))
 
 
 def log_entries(spark: SparkSession, folder: str, message: bool = True) -> DataFrame:

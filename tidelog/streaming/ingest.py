@@ -72,6 +72,6 @@ def deduplicated(messages: DataFrame, index: dedup.DedupIndex, out: str, checkpo
     """A stream of deliveries (row_id, src, ulid, ...) with each batch's superseded rows written to out/batch=N, by one index."""
 
     def take(batch: DataFrame, number: int) -> None:
-        index.add(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+        index.add(batch, number).select("row_id").write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
     return messages.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": FLUSH_AGE})).foreachBatch(take).start()
