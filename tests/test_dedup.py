@@ -102,3 +102,16 @@ def test_kept(spark):
     d = spark.createDataFrame(rows, "ulid string, src int, row_id bigint, text string, _best int")
     assert sorted((r.ulid, r.row_id, r.text, r._best) for r in D.kept(d).collect()) == [("a", 2, "z", 6), ("b", 1, None, None)]
     assert D.kept(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n, ids, hot", [(0, 1, 0), (800, 300, 0), (1500, 40, 0.34), (500, 1, 1)])
+def test_settled(spark, n, ids, hot):
+    """Rows stay with all columns; repeated rows are one; a condition leaves out rows, but they count against others."""
+    rows = [(*r, r[2] % 3, "clash") for r in made(n, ids, n + 1, hot)]
+    rows += rows[:50] + [(None, 1, 5, 1, "x"), ("0" * 26, 1, None, 1, "x")] * (n > 0)
+    d = spark.createDataFrame(rows, SCHEMA + ", kind int, tag string").repartition(5)
+    best = {}
+    for r in sorted((r for r in rows if r[0] and r[2] is not None), key=lambda r: (D.NO_SRC if r[1] is None else r[1], r[2])):
+        best.setdefault(r[0], r)
+    assert sorted(map(tuple, D.settled(d).collect()), key=repr) == sorted(best.values(), key=repr)
+    assert sorted(map(tuple, D.settled(d, "kind = 1").collect()), key=repr) == sorted((r for r in best.values() if r[3] == 1), key=repr)

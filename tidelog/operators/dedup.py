@@ -22,7 +22,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.scale import partitions_for, shared_dir
+from tidelog.functions.scale import partitions_for, shared_dir, written
 
 FAN = 4
 HOT_AT = 8
@@ -262,6 +262,76 @@ def superseded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return index.lost(list(range(index.epoch + 1))).select("row_id") if index.epoch >= 0 else rows.where("false").select("row_id")
 
 
+def settled(rows: DataFrame, where: str = "true", what: str = "rows") -> DataFrame:
+    """rows (ulid, src, row_id, ...) without superseded copies, as far as `where` (a condition on rows) wants them.
+
+    Copies are settled on identifier, src and row_id alone, by a fresh index: all other columns stay where they are. rows are written once, each
+    with a number that names the task which wrote it; the copies that have lost are put in one list a task, and whoever reads a row
+    looks it up in the list of its task. So rows are neither shuffled nor joined. Rows with a null ulid or row_id are left out; of
+    repeated rows one stays.
+    """
+    spark = rows.sparkSession
+    table = written(rows.where("ulid is not null and row_id is not null").withColumn("_id", F.monotonically_increasing_id()), what)
+    index = fresh_index(table.select("ulid", "src", "row_id", "_id"))
+    lost = index.add(table.select("ulid", "src", "row_id", F.col("_id").alias("tag")))
+    folder = shared_dir(spark, "lost")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        now, held = None, []
+
+        def write() -> pa.RecordBatch:
+            with fs.open_output_stream(f"{root}/{now}") as f:
+                f.write(np.sort(np.concatenate(held)).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["part"])
+
+        for b in batches:
+            tag = b.column("tag").to_numpy()
+            part = tag >> 33
+            edges = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(part)]):
+                if lo == hi:
+                    continue
+                if part[lo] != now:
+                    if held:
+                        yield write()
+                    now, held = int(part[lo]), []
+                held.append(tag[lo:hi])
+        if held:
+            yield write()
+
+    parts = F.shiftright("tag", 33)
+    # the lists are there when this has been written
+    written(lost.select("tag", parts.alias("part")).repartition("part").sortWithinPartitions("part").select("tag").mapInArrow(lists, "part bigint"), "lost-parts")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            id_ = b.column("_id").to_numpy()
+            part, keep = id_ >> 33, np.ones(len(id_), bool)
+            for p in np.unique(part).tolist():
+                if p not in known:
+                    if len(known) > 8:
+                        known.clear()
+                    path = f"{root}/{p}"
+                    if fs.get_file_info(path).type == pafs.FileType.File:
+                        with fs.open_input_stream(path) as f:
+                            known[p] = np.frombuffer(f.read(), np.int64)
+                    else:
+                        known[p] = np.zeros(0, np.int64)
+                gone = known[p]
+                if len(gone):
+                    mine = part == p
+                    at = np.minimum(np.searchsorted(gone, id_[mine]), len(gone) - 1)
+                    keep[mine] = gone[at] != id_[mine]
+            yield b.filter(pa.array(keep)) if not keep.all() else b
+
+    out = table.where(where)
+    return out.mapInArrow(drop, out.schema).drop("_id")
+
+
 def kept(rows: DataFrame, key: str = "ulid", by: tuple[str, ...] = ("src", "row_id")) -> DataFrame:
     """The kept copy of each key, with all columns: one aggregate, combined on the map side, so a hot key sends one row a task.
 

@@ -2,9 +2,11 @@
 
 Method: a deterministic character-level state machine, given as two tables (next state, and whether a token begins), walks
 all lines of a batch in step, one character column at a time. Its tokens (words, numbers, dates and times, quoted strings,
-brackets and delimiters) are matched by grammars that name the time, level, component and message; a line that fits no
-grammar starts no entry. Continuations are then attached to the entry before them, which takes the order of lines: lines
-are put in shards by stream and hour, so that no stream is one task's, and one row a shard settles what crosses shards.
+brackets and delimiters) go through lookahead states, which tell lines that can begin an entry (a time or a key comes soon) from
+continuations; the others are matched by grammars that name the time, level, component and message, those of known layouts first and
+then a general one (a time near the beginning, and what stands around it). A line that fits none starts no entry. Continuations are
+attached to the entry before them, which takes the order of lines: lines are put in shards by stream and hour, so that no stream is
+one task's, and one row a shard settles what crosses shards.
 """
 
 from __future__ import annotations
@@ -113,6 +115,36 @@ def tokenise(data: np.ndarray, start: np.ndarray, length: np.ndarray):
         yield rows, first, state[j2, r2], offset[r] + j, offset[r2] + j2 + 1
 
 
+# --- lookahead --------------------------------------------------------------------------------------------------------------
+
+# States over a line's first tokens: nothing seen that tells, may begin an entry, continues the one before.
+_LOOKING, _MAY_BEGIN, _CONTINUES = 0, 1, 2
+LOOK = 12  # no grammar below has its time or first key later
+
+
+def _look_table() -> np.ndarray:
+    """Next state by state and kind of token; the kind after the last one stands for the end of the line."""
+    t = np.repeat(np.arange(3, dtype=np.uint8)[:, None], len(_STATES) + 1, 1)
+    t[_LOOKING, [_S[k] for k in ("number", "date", "time", "{", "=")]] = _MAY_BEGIN
+    t[_LOOKING, -1] = _CONTINUES
+    return t
+
+
+_LOOK = _look_table()
+
+
+def may_begin(first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Of each line (tokens first[k]..first[k+1]) whether it can begin an entry; all lines in step, a token at a time."""
+    state = np.zeros(len(first) - 1, np.uint8)
+    for j in range(LOOK):
+        at = first[:-1] + j
+        kind = np.where(at < first[1:], kinds[np.minimum(at, max(len(kinds) - 1, 0))] if len(kinds) else 0, len(_STATES))
+        state = _LOOK[state, kind]
+        if (state != _LOOKING).all():
+            break
+    return state == _MAY_BEGIN
+
+
 # --- fields ------------------------------------------------------------------------------------------------------------
 
 # Names of levels, by what they come to; numbers are those of JSON loggers (10 to 60) and syslog (0 to 7).
@@ -241,6 +273,7 @@ class _Line:
 
 _WORD, _NUMBER, _DATE, _TIME, _QUOTED, _COLON = (_S[x] for x in ("word", "number", "date", "time", "quoted", ":"))
 _COMMA, _EQ, _PIPE, _LB, _RB, _LC, _RC, _LP, _RP, _LT, _GT = (_S[x] for x in _PUNCT)
+_BOXES = {_LB: _RB, _LP: _RP, _LT: _GT}
 
 
 def _syslog(t: _Line, ms: int) -> Entry | None:
@@ -365,7 +398,7 @@ def _iso_first(t: _Line, ms: int) -> Entry | None:
     if ts is None:
         return None
     level = _level_of(t.text(1))
-    if level is None:
+    if level is None or len(t.text(1)) < 3 or not (t.text(1).isupper() or t.kind(2) == _LB):
         return None
     if t.kind(2) == _LB:
         i = 3
@@ -374,7 +407,7 @@ def _iso_first(t: _Line, ms: int) -> Entry | None:
         return (ts, level, t.raw[t.e[2] : t.b[i]].decode("utf-8", "replace"), t.after(i + 1), None) if i < t.n else None
     target, j = t.span(2) if t.n > 2 else ("", 2)
     if not target.endswith(":"):
-        return ts, level, "", t.after(2), None
+        return None
     return ts, level, without_place(target[:-1]), t.after(j), None
 
 
@@ -389,10 +422,13 @@ def _date_first(t: _Line, ms: int) -> Entry | None:
         i = 3
         while i < t.n and t.k[i] != _PIPE:
             i += 1
+        if i == t.n:
+            return None
         for j in range(t.n - 4, i, -1):
             if t.k[j] == _LT and t.k[j + 2] == _GT and t.k[j + 3] == _WORD and t.text(j + 3)[0] == "@" and _level_of(t.text(j + 1)):
                 return ts, _level_of(t.text(j + 1)), t.span(j + 3)[0][1:], t.after(i + 1), t.after(j)
-        return ts, "", "", t.after(i + 1), None
+        got = _general(t, ms)  # else the first field is a host
+        return got if got[1] or got[2] else (ts, "", "", t.after(i + 1), None)
     if t.kind(2) == _LB:
         i = 3
         while i < t.n and t.k[i] != _RB:
@@ -401,14 +437,12 @@ def _date_first(t: _Line, ms: int) -> Entry | None:
         if level is None:
             return None
         name, j = t.span(i + 2) if i + 2 < t.n else ("", i + 2)
-        return ts, level, without_place(name), t.after(j + (t.text(j) == "-")), None
-    if t.text(2) == "-":
+        return (ts, level, without_place(name), t.after(j + 1), None) if t.text(j) == "-" else None
+    if t.text(2) == "-" and t.kind(3) not in _BOXES:
         name, j = t.span(3) if t.n > 3 else ("", 3)
         if t.text(j) == "-" and (level := _level_of(t.text(j + 1))) is not None:
             return ts, level, without_place(name), t.after(j + 2 + (t.text(j + 2) == "-")), None
         return None
-    if (level := _level_of(t.text(2))) is not None:
-        return ts, level, "", t.after(3), None
     return None
 
 
@@ -426,7 +460,7 @@ def _bracket(t: _Line, ms: int) -> Entry | None:
         name = t.raw[t.e[4] : t.b[i]].decode("utf-8", "replace") if i < t.n else ""
         i += 1
     level = _level_of(t.text(i))
-    return ts, level or "", name, t.after(i + (level is not None)), None
+    return None if level is None or not name else (ts, level, name, t.after(i + 1), None)
 
 
 def _seconds_first(t: _Line, ms: int) -> Entry | None:
@@ -467,25 +501,109 @@ def _access(t: _Line, ms: int) -> Entry | None:
     return None if base is None or clock is None else (base + clock, "", "", t.after(i + 3 + bool(zone)), None)
 
 
+def _time_at(t: _Line, i: int, ms: int) -> tuple[int, int] | None:
+    """A time that begins at token i, and the token after it: ISO, day and time, or month, day and time (the year may come last)."""
+    if t.kind(i) == _TIME and (ts := iso_ms(t.text(i))) is not None:
+        return ts, i + 1
+    if t.kind(i) == _DATE and t.kind(i + 1) == _TIME:
+        zone = t.text(i + 2) if re.match(r"(?:Z|[+-]\d\d:?\d\d)\Z", t.text(i + 2)) and "." not in t.text(i + 2) else ""
+        if (ts := stamp_ms(t.text(i), t.text(i + 1) + zone)) is not None:
+            return ts, i + 2 + bool(zone)
+    month = _MONTHS.get(t.text(i).lower())
+    if month and t.kind(i + 1) == _NUMBER and t.kind(i + 2) == _TIME:
+        if re.match(r"\d{4}\Z", t.text(i + 3)):
+            base, clock = day_ms(int(t.text(i + 3)), month, int(t.text(i + 1))), clock_ms(t.text(i + 2))
+            return None if base is None or clock is None else (base + clock, i + 4)
+        if (ts := yearless_ms(month, int(t.text(i + 1)), t.text(i + 2), ms)) is not None:
+            return ts, i + 3
+    return None
+
+
+def _boxed(t: _Line, i: int) -> tuple[str, int] | None:
+    """What stands in brackets that open at token i, and the token after them."""
+    if t.kind(i) not in _BOXES:
+        return None
+    j = i + 1
+    while j < t.n and t.k[j] != _BOXES[t.k[i]]:
+        j += 1
+    return (t.raw[t.e[i] : t.b[j]].decode("utf-8", "replace").strip(), j + 1) if j < t.n else None
+
+
+def _stated_level(t: _Line, i: int) -> tuple[str, int] | None:
+    """A level at token i, and the token after it: in brackets, in capitals (three letters or more), or before a colon."""
+    if box := _boxed(t, i):
+        return (level, box[1]) if (level := LEVEL_OF.get(box[0].lower())) else None
+    text = t.text(i)
+    level = LEVEL_OF.get(text.lower()) if t.kind(i) == _WORD else None
+    colon = t.kind(i + 1) == _COLON and t.b[i + 1] == t.e[i]
+    if level and (colon or (len(text) > 2 and text.isupper())):
+        return level, i + 1 + colon
+    if t.kind(i) == _TIME and text.endswith(":") and (level := LEVEL_OF.get(text[:-1].lower())):  # a word and its colon are one token
+        return level, i + 1
+    if t.kind(i) == _WORD and text.endswith(":") and (level := LEVEL_OF.get(text[:-1].lower())):
+        return level, i + 1
+    return None
+
+
+def _general(t: _Line, ms: int) -> Entry | None:
+    """A layout that isn't known: perhaps a level, a time (bare or in brackets), and then level and component in any order, as far as
+    they are marked as such: a level as in _stated_level, a component by brackets or by a colon after it (perhaps with a host before)."""
+    level = None
+    i = 0
+    if got := _stated_level(t, i):
+        level, i = got
+    box = t.kind(i) in _BOXES
+    got = _time_at(t, i + box, ms)
+    if got is None:
+        return None
+    by_month = t.kind(i + box) == _WORD
+    ts, i = got
+    if box:
+        if t.kind(i) not in _BOXES.values():
+            return None
+        i += 1
+    name = None
+    for _ in range(6):
+        if t.text(i) in ("-", "|", ",") or t.kind(i) == _COLON:
+            i += 1
+        elif level is None and (got := _stated_level(t, i)):
+            level, i = got
+        elif name is None and (got := _boxed(t, i)) and re.match(r"[\w.:/$-]+\Z", got[0]) and not got[0].isdigit():
+            name, i = without_place(got[0]), got[1]
+        else:
+            break
+    if name is None and i < t.n:
+        text, j = t.span(i)
+        if not text.endswith(":") and by_month and j < t.n:  # the host comes first
+            text, j = t.span(j)
+        elif not text.endswith(":") and j < t.n and re.match(r"[\w./-]+\[\d+\]:\Z", t.span(j)[0]):
+            text, j = t.span(j)
+        if re.match(r"[A-Za-z_][\w.:/$-]*(\[\d+\])?:\Z", text):
+            name, i = without_place(re.sub(r"(\[\d+\])?:\Z", "", text)), j
+            if level is None and (got := _stated_level(t, i)):
+                level, i = got
+    return ts, level or "", name or "", t.after(i), None
+
+
 def grammar(t: _Line, ms: int) -> Entry | None:
     """The entry that a line starts, by the first grammar its first tokens allow; None for a continuation."""
     if not t.n or t.b[0] != t.at:  # it begins with white space
         return None
     first, second = t.k[0], t.kind(1)
     if first == _LT:
-        return _syslog(t, ms)
+        return _syslog(t, ms) or _general(t, ms)
     if first == _LC:
         return _json(t, ms) if second == _QUOTED else None
     if first == _LB:
-        return _bracket(t, ms)
+        return _bracket(t, ms) or _general(t, ms)
     if second == _EQ:
         return _pairs(t, ms)
     if first == _TIME:
-        return _iso_first(t, ms) or _access(t, ms)
+        return _iso_first(t, ms) or _access(t, ms) or _general(t, ms)
     if first == _DATE:
-        return _date_first(t, ms) or _seconds_first(t, ms) or _access(t, ms)
+        return _date_first(t, ms) or _seconds_first(t, ms) or _access(t, ms) or _general(t, ms)
     if first == _WORD:
-        return _letter_first(t, ms) or _access(t, ms)
+        return _letter_first(t, ms) or _access(t, ms) or _general(t, ms)
     return None
 
 
@@ -503,10 +621,12 @@ def parse_lines(lines: pa.Array, ms: pa.Array) -> pa.StructArray:
     end = offsets[1:].tolist()
     out: list[dict | None] = [None] * n
     for rows, first, kinds, b, e in tokenise(data, offsets[:-1], np.diff(offsets)):
-        kinds, b, e, first = kinds.tolist(), b.tolist(), e.tolist(), first.tolist()
-        for r, lo, hi in zip(rows.tolist(), first, first[1:]):
-            if lo == hi or b[lo] != begin[r]:
-                continue
+        ask = may_begin(first, kinds)
+        some = np.flatnonzero(ask)
+        ask[some] = b[first[some]] == offsets[rows[some]]  # white space before the first token: a continuation
+        lines_, lows, highs = rows[ask].tolist(), first[:-1][ask].tolist(), first[1:][ask].tolist()
+        kinds, b, e = kinds.tolist(), b.tolist(), e.tolist()
+        for r, lo, hi in zip(lines_, lows, highs):
             got = grammar(_Line(raw, begin[r], end[r], kinds[lo:hi], b[lo:hi], e[lo:hi]), when[r])
             if got is not None:
                 ts, level, component, at, to = got
@@ -526,25 +646,50 @@ def parsed(lines: DataFrame, line: str = "body", ms: str = "ulid_ms") -> DataFra
     return lines.withColumn("entry", fields.asNondeterministic()(F.col(line), F.col(ms)))
 
 
-def entries(lines: DataFrame, stream: tuple[str, ...], order: str, ms: str, shard_ms: int = SHARD_MS) -> DataFrame:
+def entries(lines: DataFrame, stream: tuple[str, ...], order: str, ms: str, shard_ms: int = SHARD_MS, text: str | None = None) -> DataFrame:
     """One row per entry: the stream's columns, `order` of its first line, the fields of `entry`, and n_lines.
 
-    lines: output of parsed(). Lines of a stream go in `order`; a line that starts no entry belongs to the entry before it, and
-    to none where there is none (it is left out). Nulls in the stream's columns make a stream of their own; rows with a null
-    order are left out. A stream of any size is spread over shards of shard_ms; what is ordered in one piece is one row a shard.
+    lines: output of parsed(). Lines of a stream go in `order`, which is unique in it; a line that starts no entry belongs to the entry before
+    it, and to none where there is none (it is left out). Nulls in the stream's columns make a stream of their own; rows with a null order are
+    left out. text: the column of the lines' texts, if the entry's field `message` is to go on with those of its continuations, one a line
+    (one value, so an entry has room for 2 GB). A stream of any size is spread over shards of shard_ms; what is ordered in one piece is
+    one row a shard.
     """
-    # a struct is equal to another with the same nulls
-    d = lines.where(F.col(order).isNotNull()).select(F.struct(*stream).alias("_stream"), F.expr(f"{ms} div {shard_ms}").alias("_shard"), F.col(order).alias("_at"), "entry")
-    w = Window.partitionBy("_stream", "_shard").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_of", F.max(F.when(F.col("entry").isNotNull(), F.col("_at"))).over(w))
-    # the lines before a shard's first entry have _of null
-    own = d.groupBy("_stream", "_shard", "_of").agg(F.count(F.lit(1)).alias("n_lines"), F.max("entry").alias("entry"))
-    own = written(own, "entries")  # it is read twice below, and all that is before it must run once
-    by_shard = own.groupBy("_stream", "_shard").agg(F.max(F.when(F.col("_of").isNotNull(), F.struct("_of", "_shard"))).alias("_last"), F.coalesce(F.sum(F.when(F.col("_of").isNull(), F.col("n_lines"))), F.lit(0)).alias("_lead"))
-    before = Window.partitionBy("_stream").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_shard.withColumn("_to", F.max("_last").over(before)).where("_lead > 0 and _to is not null")
+    keys = [f"_k{n}" for n in range(len(stream))]
+    d = lines.where(F.col(order).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(stream, keys)], F.expr(f"{ms} div {shard_ms}").alias("_shard"), F.col(order).alias("_at"), "entry", *([F.col(text).alias("_text")] if text else []))
+    starts = F.col("entry").isNotNull()
+    shard = Window.partitionBy(*keys, "_shard")
+    w = shard.orderBy("_at")
+    if text:
+        d = d.withColumn("_of", F.max(F.when(starts, F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        more = F.sort_array(F.collect_list(F.when(~starts, F.struct("_at", F.coalesce("_text", F.lit("")).alias("t")))))
+        d = d.groupBy(*keys, "_shard", "_of").agg(F.max("entry").alias("entry"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(more, lambda x: x["t"]), "\n").alias("_text"))
+        d = d.withColumnRenamed("_of", "_at").withColumn("_last", F.col("_at").isNotNull() & (F.lead("_at").over(w).isNull()))
+    else:
+        # kept are first lines of entries and of shards; a line counts for what is kept before it
+        d = d.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count(F.lit(1)).over(shard)).where(starts | (F.col("_n") == 1))
+        then = F.lead("_n").over(w)
+        d = d.withColumn("_last", starts & then.isNull()).withColumn("n", F.coalesce(then, F.col("_all") + 1) - F.col("_n")).withColumn("_at", F.when(starts, F.col("_at"))).drop("_n", "_all")
+    # _at null: the lines before a shard's first entry
+    own = written(d, "entries")  # it is read more than once below, and all that is before it must run once
+    ends = own.where("_last or _at is null").select(*keys, "_shard", "_at", "n", *(["_text"] if text else []))
+    each = ends.groupBy(*keys, "_shard").agg(F.max(F.when(F.col("_at").isNotNull(), F.struct("_shard", "_at"))).alias("_end"), F.coalesce(F.sum(F.when(F.col("_at").isNull(), F.col("n"))), F.lit(0)).alias("_lead"), *([F.max(F.when(F.col("_at").isNull(), F.col("_text"))).alias("_text")] if text else []))
+    before = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.withColumn("_to", F.max("_end").over(before)).where("_lead > 0 and _to is not null")
     # they belong to the last entry of an earlier shard: one row a shard
-    carried = carried.groupBy("_stream", F.col("_to._shard").alias("_shard")).agg(F.max("_to._of").alias("_to"), F.sum("_lead").alias("_more"))
-    out = own.where("_of is not null").join(carried, ["_stream", "_shard"], "left")
-    more = F.when(F.col("_of") == F.col("_to"), F.col("_more")).otherwise(0)
-    return out.select("_stream.*", F.col("_of").alias(order), "entry.*", (F.col("n_lines") + F.coalesce(more, F.lit(0))).alias("n_lines"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_shard", "_text"))), lambda x: x["_text"]), "\n")
+    carried = carried.groupBy(*keys, F.col("_to._shard").alias("_shard")).agg(F.sum("_lead").alias("_more"), *([parts.alias("_tail")] if text else []))
+    last = own.where("_last").alias("o")
+    same = F.col("o._shard") == F.col("c._shard")
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"c.{k}"))
+    last = last.join(carried.alias("c"), same, "left").select("o.*", "_more", *(["_tail"] if text else []))
+    rest = own.where("_at is not null and not _last").withColumn("_more", F.lit(None).cast("bigint"))
+    if text:
+        rest = rest.withColumn("_tail", F.lit(None).cast("string"))
+    out = rest.unionByName(last)
+    if text:
+        lead = F.when(F.col("n") > 1, F.concat(F.lit("\n"), F.col("_text"))).otherwise("")
+        carried_text = F.when(F.col("_more") > 0, F.concat(F.lit("\n"), F.col("_tail"))).otherwise("")
+        out = out.withColumn("entry", F.col("entry").withField("message", F.concat(F.col("entry.message"), lead, carried_text)))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(stream, keys)], F.col("_at").alias(order), "entry.*", (F.col("n") + F.coalesce("_more", F.lit(0))).cast("bigint").alias("n_lines"))

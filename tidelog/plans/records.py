@@ -26,13 +26,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def log_entries(spark: SparkSession, folder: str, message: bool = True) -> DataFrame:
     """One row per entry of the log topics, over kept copies: conn_id, topic, ulid, ts_ms, log_level, component, (message,) n_lines."""
     rows = load.loaded(records(spark, folder, "row_id", "src", "conn_id", "id", "record"), table(spark, folder, "topics"))
-    rows = rows.withColumn("ulid_ms", U.ulid_ms(F.col("ulid")))
-    # lines are parsed before the copies are settled: fields are smaller to shuffle than texts
-    rows = logparse.parsed(rows.withColumn("body", F.when(F.col("form") == "log", F.col("body"))))
+    is_log = F.col("form") == "log"
+    rows = logparse.parsed(rows.withColumn("body", F.when(is_log, F.col("body"))).withColumn("ulid_ms", U.ulid_ms(F.col("ulid"))))
     fields = ["ts_ms", "log_level", "component", *(["message"] if message else [])]
-    rows = rows.select("ulid", "src", "row_id", "conn_id", "topic", "ulid_ms", (F.col("form") == "log").alias("is_log"), F.when(F.col("entry.ts_ms").isNotNull(), F.struct(*[F.col(f"entry.{f}").alias(f) for f in fields])).alias("entry"))
-    lines = dedup.kept(rows).where("is_log")
-    return logparse.entries(lines, ("conn_id", "topic"), "ulid", "ulid_ms")
+    starts = F.col("entry.ts_ms").isNotNull()
+    entry = F.when(starts, F.struct(*[F.col(f"entry.{f}").alias(f) for f in fields])).alias("entry")
+    text = [F.when(~F.coalesce(starts, F.lit(False)), F.col("body")).alias("text")] if message else []
+    # other topics' copies settle who is kept too, by identifier alone
+    mine = lambda c: F.when(is_log, F.col(c)).alias(c)
+    rows = rows.select("ulid", "src", "row_id", mine("conn_id"), mine("topic"), is_log.alias("is_log"), entry, *text)
+    lines = dedup.settled(rows, "is_log", "lines").withColumn("ulid_ms", U.ulid_ms(F.col("ulid")))
+    return logparse.entries(lines, ("conn_id", "topic"), "ulid", "ulid_ms", text="text" if message else None)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +45,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """p3_found with connection, topic and message."""
+    """p3_found with connection, topic and message (with the text of all its lines)."""
     return log_entries(spark, folder).withColumnRenamed("ulid", "id")
 
 
