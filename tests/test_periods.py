@@ -73,7 +73,51 @@ def test_extra_columns(spark):
     assert [tuple(r) for r in P.periods(d).collect()] == [("a", "period", u(1), u(2))]
 
 
-def test_run_bitmap():
-    s = lambda *x: np.array(x, "S2")
-    g, a, b = P.run_bitmap(np.array([1, 0, 1, 1]), s("c", "a", "a", "e"), s("d", "z", "c", "e"))
-    assert list(zip(g.tolist(), a.tolist(), b.tolist())) == [(0, b"a", b"z"), (1, b"a", b"d"), (1, b"e", b"e")]
+def bitmap(rows):
+    """Intervals (container, low, high) of small numbers, as a RunBitmap."""
+    n = max([k for k, _, _ in rows], default=-1) + 1
+    of = lambda j: np.array([f"{r[j]:03d}" for r in rows], "S3")
+    return P.RunBitmap.of([f"e{k}" for k in range(n)], np.arange(n), np.array([r[0] for r in rows], np.int64), of(1), of(2))
+
+
+def bits(rows):
+    """The same painted bit by bit: twice the number, and the stretch after it."""
+    return {(k, x) for k, a, b in rows for x in range(2 * a, 2 * b + 1)}
+
+
+def painted(m):
+    return {(k, x) for k, a, b in zip(m.key.tolist(), *m.set_runs()[1:]) for x in range(2 * int(a), 2 * int(b) + 1)}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_run_bitmaps(seed):
+    rng = random.Random(seed)
+    draw = lambda n: [(k, a, a + rng.randrange(6)) for k, a in ((rng.randrange(4), rng.randrange(90)) for _ in range(n))]
+    containers = [(k, 0, 0) for k in range(4)]
+    one, two = draw(rng.randrange(30)) + containers, draw(rng.randrange(30)) + containers
+    a, b = bitmap(one), bitmap(two)
+    assert painted(a) == bits(one) and painted(b) == bits(two)
+    both = a.union(b)
+    assert painted(both) == bits(one + two)
+    # runs are maximal, in order and compressed: only their ends are units of the container
+    assert (both.start[1:] > both.start[:-1] + both.length[:-1]).all() and len(both.at) == len({(k, e) for k, *ends in zip(both.key.tolist(), *both.set_runs()[1:]) for e in ends})
+    inner, end = both.clear_runs()
+    gaps = {(k, int(h), int(e)) for k, h, i, e in zip(both.key.tolist(), both.set_runs()[2], inner, end) if i}
+    clear = {(k, x) for k, h, e in gaps for x in range(2 * h + 1, 2 * e)}
+    assert not clear & painted(both)
+    span = {k: [x for j, x in painted(both) if j == k] for k in range(4)}
+    assert clear | painted(both) == {(k, x) for k, v in span.items() for x in range(min(v), max(v) + 1)}
+    assert painted(both.part(1, 3)) == {(k - 1, x) for k, x in painted(both) if 1 <= k < 3}
+    many = P.Union()
+    for k in range(0, len(two), 3):
+        many.add(bitmap(two[k : k + 3] + containers))
+    assert painted(many.take()) == bits(two)
+
+
+def test_a_shard_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(9)
+        check(spark, [("hot", u(a), u(a + rng.randrange(3))) for a in (rng.randrange(900) for _ in range(400))], 300)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -27,7 +27,7 @@ from tidelog.functions.scale import partitions_for, shared_dir, written
 FAN = 4
 HOT_AT = 8
 HOT_MOST = 65_536
-EPOCHS = 8
+EPOCHS = 4
 NO_SRC = (1 << 31) - 1
 PARTITION_BYTES = 512 << 20  # a reduce task holds one prefix at a time, a fourth of this or less
 

@@ -14,8 +14,10 @@ from tidelog.functions import ulid as U
 from tidelog.functions.scale import before_parts, ordered_parts
 
 _ID = "[0-7][0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{25}"
-# A path: perhaps a volume's directory, and last a segment's name.
-_PATH = rf"^{U.AROUND}*(?:(?:.*[/\\])?([Vv][Oo][Ll]-\d{{7}})[/\\])?(?:.*[/\\])?({_ID})-({_ID})\.([A-Za-z]+){U.AROUND}*\z"
+_NAME = rf"^{_ID}-{_ID}\.[A-Za-z]+\z"
+_VOLUME = r"^(?:.*/)?([Vv][Oo][Ll]-\d{7})/"
+# The characters of U.AROUND, one by one.
+_AROUND = " \t\n\x0b\f\r\ufeff\u00a0\u200b"
 # The states of a store's segments, and those a query may read.
 STATES = ("active", "flushed", "reading", "trashed")
 QUERYABLE = ("flushed", "reading")
@@ -31,30 +33,41 @@ def with_name(files: DataFrame, path: str = "path") -> DataFrame:
 
     Letter case, doubled and back slashes, '.' elements, a file: scheme, and white space around the path do not matter.
     """
-    # one pass over the path; columns then come from its short result
-    d = files.drop("volume", "low", "high", "state").withColumn("_p", F.split(F.regexp_replace(path, _PATH, "$1 $2 $3 $4 /"), " "))
-    hit = F.element_at("_p", -1) == "/"
-    d = d.withColumn("_a", F.when(hit, F.upper(F.get("_p", F.lit(1))))).withColumn("_b", F.when(hit, F.upper(F.get("_p", F.lit(2)))))
-    d = d.withColumn("volume", F.when(hit, F.lower(F.nullif(F.get("_p", F.lit(0)), F.lit("")))))
-    return d.withColumn("low", F.least("_a", "_b")).withColumn("high", F.greatest("_a", "_b")).withColumn("state", F.when(hit, F.lower(F.get("_p", F.lit(3))))).drop("_p", "_a", "_b")
+    # the name is cut off first, so that the expressions below see short texts only
+    d = files.drop("volume", "low", "high", "state").withColumn("_t", F.btrim(F.translate(path, "\\", "/"), F.lit(_AROUND)))
+    d = d.withColumn("_n", F.substring_index("_t", "/", -1))
+    d = d.withColumn("_n", F.when((F.length("_n") > 54) & F.col("_n").rlike(_NAME), F.col("_n")))
+    d = d.withColumn("volume", F.when(F.col("_n").isNotNull(), F.lower(F.nullif(F.regexp_extract(F.expr("left(_t, length(_t) - length(_n))"), _VOLUME, 1), F.lit("")))))
+    d = d.withColumn("_a", F.upper(F.substring("_n", 1, 26))).withColumn("_b", F.upper(F.substring("_n", 28, 26)))
+    return d.withColumn("low", F.least("_a", "_b")).withColumn("high", F.greatest("_a", "_b")).withColumn("state", F.lower(F.expr("substring(_n, 55)"))).drop("_t", "_n", "_a", "_b")
 
 
-def current(listings: DataFrame) -> DataFrame:
+def current(listings: DataFrame, with_path: bool = False) -> DataFrame:
     """One row per segment file (volume, low, high): state of its latest listing, and its last known size (null: never known).
 
     listings: path, listed_at, seg_no, size. Of listings of the same time the later seg_no counts; a null time is the earliest;
     a null or negative size is unknown; rows that name no segment or no volume are left out; repeated rows do no harm.
+    with_path: also the path of the latest listing.
     """
-    d = with_name(listings.where(F.col("path").rlike(_PATH))).where("volume is not null")
-    when = [F.coalesce(F.col("listed_at").cast("timestamp"), F.timestamp_millis(F.lit(0))).alias("at"), F.coalesce("seg_no", F.lit(-1)).alias("no")]
-    known = F.when(F.col("size") >= 0, F.struct(*when, "size"))
-    d = d.groupBy("volume", "low", "high").agg(F.max(F.struct(*when, "state")).alias("_s"), F.max(known).alias("_z"))
-    return d.select("volume", "low", "high", F.col("_s.state").alias("state"), F.col("_z.size").alias("size"))
-
-
-def live(listings: DataFrame) -> DataFrame:
+    # rows without a volume are left out at the end, by an aggregate: a filter here would be pushed below the names, and they be made twice
+    d = with_name(listings)
+    # time and number as one number, and states as numbers: what is aggregated is of fixed width, and so hashed and not sorted
+    at = F.coalesce(F.unix_micros(F.col("listed_at").cast("timestamp")), F.lit(-(1 << 55)))
+    when = at.cast("decimal(19,0)") * F.expr("10000000000000000000BD") + F.coalesce("seg_no", F.lit(-1)).cast("decimal(19,0)")
+    code = F.array_position(F.array(*[F.lit(x) for x in STATES]), F.col("state"))
+    d = d.withColumn("_when", when.cast("decimal(38,0)")).withColumn("_code", code)
+    known = F.col("size") >= 0
+    d = d.groupBy("volume", "low", "high").agg(
+        F.max_by("_code", "_when").alias("_code"), F.max_by(F.when(known, F.col("size")), F.when(known, F.col("_when"))).alias("size"), F.bool_or(F.col("volume").isNotNull()).alias("_ok"), *([F.max_by("path", "_when").alias("path")] if with_path else [])
+    )
+    # a state that isn't among STATES is of no use to anyone: 'other'
+    state = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in STATES]), F.nullif(F.col("_code"), F.lit(0)).cast("int")), F.lit("other"))
+    return d.where("_ok").select("volume", "low", "high", state.alias("state"), "size", *(["path"] if with_path else []))
+
+
+def live(listings: DataFrame, with_path: bool = False) -> DataFrame:
     """The current files that a query may read."""
-    return current(listings).where(F.col("state").isin(*QUERYABLE))
+    return current(listings, with_path).where(F.col("state").isin(*QUERYABLE))
 
 
 def index_of(records: DataFrame, segment: list[str], ulid: str = "ulid", raw: str = "raw") -> DataFrame:
