@@ -40,6 +40,8 @@ def test_plan(spark):
     parts = C.plan(d, part_files=7).collect()
     assert len(parts) == 62 and len({r.part for r in parts if r.volume == "a"}) > 4
     assert C.plan(d.where("false")).count() == 0
+    named = C.output_name(C.plan(d.withColumn("path", F.concat_ws("/", "volume", "low")), part_files=7)).collect()
+    assert len({r.output for r in named}) == len({(r.volume, r.part, r.output) for r in named}) and all(r.path == f"{r.volume}/{r.low}" for r in named)
 
 
 @pytest.mark.parametrize("form", ["parquet", "lines"])
@@ -63,7 +65,33 @@ def test_consolidate(spark, tmp_path, form):
     got = []
     for r in done:
         got += pq.read_table(out / r.file)["v"].to_pylist() if form == "parquet" else (out / r.file).read_text().splitlines()
-    assert sorted(got) == sorted(want) and os.path.exists(out / "manifest") and not os.path.exists(out / "manifest.tmp")
+    assert sorted(got) == sorted(want)
+    # a second run has a manifest of its own, and the first stands until it is complete
+    first = {r.file for r in C.published(spark, f"file://{out}").collect()}
+    assert first == {r.file for r in done}
+    with pytest.raises(Exception):
+        C.consolidate(spark.createDataFrame([("o", f"file://{tmp_path}/missing")], "output string, path string"), f"file://{out}", form)
+    assert {r.file for r in C.published(spark, f"file://{out}").collect()} == first
+    again = {r.file for r in C.consolidate(spark.createDataFrame(rows[:3], "output string, path string"), f"file://{out}", form).collect()}
+    assert {r.file for r in C.published(spark, f"file://{out}").collect()} == again and not again & first
+
+
+@pytest.mark.parametrize("form", ["parquet", "lines"])
+def test_a_changed_output_is_found(tmp_path, monkeypatch, form):
+    """What is read again is compared with the inputs themselves."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    one, two = tmp_path / "one", tmp_path / "two"
+    pq.write_table(pa.table({"v": [["a"], None, []], "n": [1.5, None, float("inf")]}), one) if form == "parquet" else one.write_text("a\nb\n")
+    pq.write_table(pa.table({"v": [["a"], None, ["x"]], "n": [1.5, None, float("inf")]}), two) if form == "parquet" else two.write_text("a\nc\n")
+    copy, name = (C._copy_parquet, "_batches") if form == "parquet" else (C._copy_lines, "_chunks")
+    assert copy([f"file://{one}"] * 3, pafs.LocalFileSystem(), str(tmp_path / "out")) == (9 if form == "parquet" else 6)
+    read, calls = getattr(C, name), []
+    monkeypatch.setattr(C, name, lambda uris: calls.append(1) or read([f"file://{two}"] if len(calls) == 2 else uris))
+    with pytest.raises(OSError, match="does not hold"):
+        copy([f"file://{one}"], pafs.LocalFileSystem(), str(tmp_path / "out"))
 
 
 def test_nothing_is_published_after_a_failure(spark, tmp_path):

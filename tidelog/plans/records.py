@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ulid as U
-from tidelog.functions.scale import spread, written
+from tidelog.functions.scale import shared_dir, spread, written
 from tidelog.operators import compact, dedup, load, logparse, periods, segments
-from tidelog.sources.tables import table
+from tidelog.plans.logs import REC
+from tidelog.sources import files
+from tidelog.sources.tables import event_records, table
 
 
 def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -91,6 +93,27 @@ def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
     return compact.plan(live_files(spark, folder))
 
 
+def p5_consolidated(spark: SparkSession, folder: str) -> DataFrame:
+    """End to end: events in many small files of five volumes, listed, planned, rewritten, published and read again; the records of the manifest's files."""
+    base = shared_dir(spark, "volumes")
+    e = event_records(spark, folder).select("ulid", "raw", "event_id")
+    listing = None
+    for k in range(5):
+        volume = f"{base}/vol-{k:07d}"
+        written(files.write(e.where(F.col("event_id") % 5 == k), volume, SMALL_BYTES), "small")
+        seen = files.listing(spark, volume).select(F.concat(F.lit("file://" if base.startswith("file:") else ""), "path").alias("path"), F.col("size_bytes").alias("size"))
+        listing = seen if listing is None else listing.unionByName(seen)
+    listing = listing.withColumn("seg_no", F.monotonically_increasing_id()).withColumn("listed_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    plan = compact.plan(segments.live(listing, with_path=True), target=16 * SMALL_BYTES)
+    out = f"{base}/out"
+    compact.consolidate(compact.output_name(plan), out, "lines")
+    names = [f"{out}/{r.file}" for r in compact.published(spark, out).select("file").collect()]  # one row an output file
+    lines = spark.read.option("lineSep", "\n").text(names) if names else spark.createDataFrame([], "value string")
+    return files.take_apart(lines).select("ulid", "body")
+
+
+SMALL_BYTES = 2 << 10
+
 # --- the same in SQL, for the tables' six layouts -------------------------------------------------------------------
 
 _ULID = "[0-7][0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{25}"
@@ -182,6 +205,7 @@ SQL = {
     "p4_found": f"with {_ROWS} select row_id, reason from rows where reason is not null",
     "p4_loaded": f"with {_ROWS} select row_id, u as ulid, topic, body as payload from rows where reason is null",
     **{f"p4_table_{t.replace('-', '_')}": _table_sql(t) for t in _LAYOUTS},
+    "p5_consolidated": f"with {REC} select ulid, body from rec",
     "p5_found": f"with {_FILES} select volume, low, high from live where size < 16777216 qualify count(*) over (partition by volume) > 1",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_entries, p4_found, p4_loaded, p5_found, p5_plan)} | {f"p4_table_{t.replace('-', '_')}": p4_table(t) for t in _LAYOUTS}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_entries, p4_found, p4_loaded, p5_found, p5_plan, p5_consolidated)} | {f"p4_table_{t.replace('-', '_')}": p4_table(t) for t in _LAYOUTS}
