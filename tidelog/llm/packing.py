@@ -6,43 +6,57 @@ capacities are left with the smallest weighted norm ('norm'), or have the larges
 ('dot'). A text is split only if it alone has more tokens than a container: into full containers and a rest, which is packed
 like any other.
 
-Containers are filled per block of BLOCK pieces where the texts are read. The few of a block that are not full are taken apart
-again, and their pieces (numbers, not texts) packed together, again in blocks. The same input gives the same containers.
+Texts are turned to numbers of tokens where they are read; only these numbers are shuffled, to blocks of about BLOCK pieces by a hash
+of the text's id, and each block is packed. The few containers of a block that are not full are taken apart again, and their pieces packed
+together, again in blocks. Blocks depend on the table alone, so the same table gives the same containers on any cluster.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.scale import written
+from tidelog.functions.scale import shared_dir, written
 
 CAPACITY = 2_048
-MOST_DOCUMENTS = 256
+MOST_DOCUMENTS = 32
 BLOCK = 16_384
 FULL = 0.995
 WEIGHTS = (1.0, 0.02, 0.02)
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer's vocabulary takes text apart before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encodings: dict = {}
 
 
-def encoding(path: str = TOKENIZER):
-    """The tokenizer of a file of ranks; it is read once a process."""
-    if path not in _encodings:
+def encoding(uri: str):
+    """The tokenizer of a file of ranks (a path or URI); it is read once a process."""
+    if uri not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(path) as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+        _encodings[uri] = tiktoken.Encoding(uri, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[uri]
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The tokenizer's file, which the driver can open, in the shared folder, from where executors read it."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    folder = shared_dir(spark, "tokenizer")
+    out, root = pafs.FileSystem.from_uri(folder)
+    out.create_dir(root, recursive=True)
+    with fs.open_input_stream(name) as f, out.open_output_stream(f"{root}/ranks") as g:
+        g.write(f.read())
+    return f"{folder}/ranks"
 
 
 def pieces(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -90,57 +104,63 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, documents: int = MOST_
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, most_documents: int = MOST_DOCUMENTS, cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """container, doc_id, first_token, n_tokens: one row for each text, or for each piece of a text of more than `capacity` tokens.
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, most_documents: int = MOST_DOCUMENTS, cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """container, doc_id, first_token, n_tokens: one row for each text, or for each piece of a text that is larger than a container.
 
-    documents: doc_id, text; other columns are ignored. Null texts are left out; an empty text is a document of no tokens; a
-    repeated row is packed each time; an empty table gives no rows. Containers are numbered uniquely, not densely.
+    documents: doc_id, text; other columns are ignored. tokenizer: path or URI of a file of ranks that the driver can open. Null texts are left
+    out; an empty text is a document of no tokens; a repeated row is packed each time; an empty table gives no rows. A container's
+    attention cost is the sum of the squares of its pieces' tokens; where `cost` is less than the square of the capacity, a larger text than its
+    root is split too. Containers are numbered uniquely, not densely.
     """
+    if cost is not None and cost < 1:
+        raise ValueError("no text fits")
+    most = capacity if cost is None else min(capacity, math.isqrt(int(cost)))
     key = dict(documents.dtypes)["doc_id"]
     names = ["container", "doc_id", "first_token", "n_tokens", "full"]
-    schema = f"container bigint, doc_id {key}, first_token bigint, n_tokens bigint, full boolean"
-
-    def filled(rows: list[tuple], base: int, id_type: pa.DataType) -> pa.RecordBatch:
-        """Pieces (doc_id, first token, tokens) in containers from number base on, and whether their container is full."""
-        sizes = np.array([r[2] for r in rows], np.int64)
-        bins = best_fit(sizes, capacity, most_documents, cost, rule, weights)
-        full = (np.bincount(bins, sizes) >= FULL * capacity) | (np.bincount(bins) >= most_documents)
-        return pa.RecordBatch.from_arrays([pa.array(base + bins), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes), pa.array(full[bins])], names)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        partition, n_block = TaskContext.get().partitionId(), 0
-        enc = encoding(tokenizer)
-        rows: list[tuple] = []
-        id_type = pa.int64()
+    uri = shipped(documents.sparkSession, tokenizer)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(uri)
         for b in batches:
-            id_type = b.column("doc_id").type
             sizes = [len(t) for t in enc.encode_ordinary_batch(b.column("text").to_pylist(), num_threads=1)]
-            rows += [(d, at, n) for d, size in zip(b.column("doc_id").to_pylist(), sizes) for at, n in pieces(size, capacity)]
-            while len(rows) >= block:
-                yield filled(rows[:block], (partition << 40) + (n_block << 20), id_type)
-                rows, n_block = rows[block:], n_block + 1
-        if rows:
-            yield filled(rows, (partition << 40) + (n_block << 20), id_type)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        partition, n_block = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        id_type = pa.int64()
+            rows = [(k, at, n) for k, size in enumerate(sizes) for at, n in pieces(size, most)]
+            of, at, n = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), at, n], ["doc_id", "first_token", "n_tokens"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block: one block at a time is held."""
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sizes = t["n_tokens"].to_numpy()
+            bins = best_fit(sizes, capacity, most_documents, cost, rule, weights)
+            full = (np.bincount(bins, sizes) >= FULL * capacity) | (np.bincount(bins) >= most_documents)
+            if cost is not None:
+                full |= np.bincount(bins, sizes.astype(float) ** 2) >= FULL * cost
+            return pa.RecordBatch.from_arrays([pa.array((now << 24) + bins), *(t[c].combine_chunks() for c in names[1:4]), pa.array(full[bins])], names)
+
         for b in batches:
-            id_type = b.column("doc_id").type
-            rows += zip(b.column("doc_id").to_pylist(), b.column("first_token").to_pylist(), b.column("n_tokens").to_pylist())
-            while len(rows) >= 2 * block:
-                yield filled(rows[:block], (1 << 62) + (partition << 40) + (n_block << 20), id_type)
-                rows, n_block = rows[block:], n_block + 1
-        if rows:
-            yield filled(rows, (1 << 62) + (partition << 40) + (n_block << 20), id_type)
-
-    made = written(documents.where("text is not null").select("doc_id", "text").mapInArrow(first, schema), "containers")
+            block_of = b.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block_of)) + 1).tolist(), len(block_of)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if block_of[lo] != now:
+                    if held:
+                        yield out()
+                    now, held = int(block_of[lo]), []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield out()
+
+    def packed(d: DataFrame, n: int, base: int) -> DataFrame:
+        blocks = max(1, -(-n // block))
+        d = d.select("doc_id", "first_token", "n_tokens", (F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(blocks)) + base).alias("block"))
+        d = d.repartition(blocks, "block").sortWithinPartitions("block", F.desc("n_tokens"), "doc_id", "first_token")
+        return d.mapInArrow(fill, f"container bigint, doc_id {key}, first_token bigint, n_tokens bigint, full boolean")
+
+    sizes = written(documents.where("text is not null").select("doc_id", "text").mapInArrow(count, f"doc_id {key}, first_token bigint, n_tokens bigint"), "sizes")
+    made = written(packed(sizes, sizes.count(), 0), "containers")
     rest = made.where("not full")
-    parts = max(1, -(-rest.count() // block))
-    rest = rest.repartition(parts, F.xxhash64("doc_id", "first_token", "container")).sortWithinPartitions("doc_id", "first_token", "container").mapInArrow(again, schema)
-    return made.where("full").unionByName(rest).drop("full")
+    return made.where("full").unionByName(packed(rest, rest.count(), 1 << 36)).drop("full")
