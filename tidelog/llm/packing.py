@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.scale import shared_dir, written
 
 CAPACITY = 2_048
-MOST_DOCUMENTS = 32
+MOST_DOCUMENTS = 128
 BLOCK = 16_384
 FULL = 0.995
 WEIGHTS = (1.0, 0.02, 0.02)
