@@ -121,3 +121,55 @@ def test_by_processing_time_a_late_line_comes_again(spark, tmp_path):
     q.stop()
     # the late line may come before the timer of the first has fired, and then takes its place
     assert got in ([(a, "A"), (b, "B"), (a, "late")], [(a, "late"), (b, "B")])
+
+
+def test_last_of():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(f"u{rng.randrange(20)}", f"b{k}", rng.randrange(5), k) for k in range(200)]
+    best = {}
+    for u_, b, a, k in rows:
+        if u_ not in best or (a, k) >= best[u_][1]:
+            best[u_] = (b, (a, k))
+    t = TL.last_of(pa.table({"ulid": [r[0] for r in rows], "body": [r[1] for r in rows], "arrival": [r[2] for r in rows], "due": [0] * 200}))
+    assert dict(zip(t["ulid"].to_pylist(), t["body"].to_pylist())) == {k: v[0] for k, v in best.items()} and len(t) == len(best)
+
+
+def test_a_tail_starts_at_now_and_metrics(spark, tmp_path):
+    """Segments that are there before it are not shown; those that come later are, also after a restart."""
+    import os
+    import time
+
+    from tidelog.streaming.metrics import Metrics
+
+    store = LogStore(spark, f"file://{tmp_path}/store")
+    add = lambda k: store.append(spark.createDataFrame([(u(T0 + k), f"{u(T0 + k)} t {k}")], "ulid string, raw string"))
+    add(1)
+    for f in (tmp_path / "store").iterdir():
+        os.utime(f, (time.time() - 100,) * 2)
+    seen, got = Metrics().add_to(spark), []
+    for k in (2, 3):
+        records = TL.new_segments(spark, store.folder, f"file://{tmp_path}/check")
+        time.sleep(1.1)
+        add(k)
+        q = TL.in_order(records, lambda d, n: got.extend(r.body for r in d.collect()), f"file://{tmp_path}/check", availableNow=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert got == ["t 2", "t 3"]
+    time.sleep(1)
+    spark.streams.removeListener(seen)
+    assert "tidelog_batches" in seen.text() and sum(n for (_, w), n in seen.counts.items() if w == "records") >= 2
+
+
+def test_durable_ingest(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a").write_text("one\ntwo\n")
+    store = LogStore(spark, f"file://{tmp_path}/store")
+    for _ in range(2):  # started again: nothing comes twice
+        q = SI.ingest_lines(SI.file_lines(spark, f"file://{tmp_path}/in"), store, f"file://{tmp_path}/check", f"file://{tmp_path}/bad", "x", mode="durable", availableNow=True)
+        q.awaitTermination(180)
+        assert q.exception() is None
+    assert sorted(r.body for r in store.query(LogQuery("2020-01-01T00:00:00Z", "2100-01-01T00:00:00Z")).collect()) == ["x one", "x two"]
+    with pytest.raises(ValueError):
+        SI.ingest_lines(SI.file_lines(spark, f"file://{tmp_path}/in"), store, f"file://{tmp_path}/c", f"file://{tmp_path}/bad", mode="slow")

@@ -1,8 +1,9 @@
-"""Command line: python -m tidelog query|stream|ingest|forward|store|testsvc STORE ..."""
+"""Command line: python -m tidelog query|stream|ingest|ingeststore|forward|store|testsvc STORE ..."""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import sys
 from datetime import UTC, datetime
 
@@ -13,8 +14,7 @@ from tidelog.operators import ingest as lines_in
 from tidelog.operators import search
 from tidelog.operators.search import LogQuery
 from tidelog.operators.store import LogStore
-from tidelog.sources import files
-from tidelog.streaming import ingest, tail
+from tidelog.streaming import ingest, metrics, tail
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,16 +41,20 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--window", default="3s")
     s.add_argument("--ulid", action="store_true")
     s.add_argument("--checkpoint", required=True)
-    i = mode("ingest", "lines of a TCP server, or of files that appear in a folder, into segments")
-    i.add_argument("--listen", help="host:port to read lines from")
-    i.add_argument("--folder", help="URI of a folder to read files from")
-    i.add_argument("--topic-mode", choices=["static", "dynamic"], default="static")
-    i.add_argument("--topic", default="default")
-    i.add_argument("--flush-size", type=int, default=ingest.FLUSH_SIZE)
-    i.add_argument("--flush-age", default=ingest.FLUSH_AGE)
-    i.add_argument("--checkpoint", required=True)
-    i.add_argument("--rejected", required=True)
-    f = mode("forward", "lines of standard input into segments, as one batch")
+    for name, text in (("ingest", "lines of a TCP server, or of files that appear in a folder, into segments"), ("ingeststore", "the same, with the upkeep of the store beside it")):
+        i = mode(name, text)
+        i.add_argument("--listen", help="host:port to read lines from")
+        i.add_argument("--folder", help="URI of a folder to read files from")
+        i.add_argument("--topic-mode", choices=["static", "dynamic"], default="static")
+        i.add_argument("--topic", default="default")
+        i.add_argument("--flush-size", type=int, default=ingest.FLUSH_SIZE)
+        i.add_argument("--flush-age", default=ingest.FLUSH_AGE)
+        i.add_argument("--checkpoint", required=True)
+        i.add_argument("--rejected", required=True)
+        i.add_argument("--mode", dest="mode_", choices=["fast", "durable"], default="fast")
+        i.add_argument("--turn-seconds", type=float, default=10, help="ingeststore: time between turns of upkeep")
+    f = mode("forward", "lines of standard input into segments, as they come")
+    f.add_argument("--chunk", type=int, default=100_000, help="lines that are sent together")
     f.add_argument("--prefix", action="append", default=[])
     f.add_argument("--topic", help="topic of all lines; else each line has its own")
     m = mode("store", "upkeep: compaction and retention, a number of turns")
@@ -82,24 +86,32 @@ def main(argv: list[str] | None = None) -> int:
         for r in search.render(d, "raw" if a.ulid else "time" if a.time else "strip").toLocalIterator():
             print(r.line)
     elif a.mode == "stream":
-        text = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", "*.flushed").text(a.store)
-        records = files.take_apart(text).where("not bad").select("ulid", "body")
+        records = tail.new_segments(spark, a.store, a.checkpoint)
         show = lambda d, n: [print(f"{r.ulid} {r.body}" if a.ulid else r.body, flush=True) for r in d.toLocalIterator()]
         tail.in_order(tail.tail(records, LogQuery(q=a.q, is_regex=a.regex), a.window), show, a.checkpoint, processingTime="1 second").awaitTermination()
-    elif a.mode == "ingest":
+    elif a.mode in ("ingest", "ingeststore"):
         if bool(a.listen) == bool(a.folder):
             sys.exit("one of --listen and --folder")
         lines = ingest.file_lines(spark, a.folder) if a.folder else ingest.socket_lines(spark, a.listen.rpartition(":")[0], int(a.listen.rpartition(":")[2]))
-        ingest.ingest_lines(lines, store, a.checkpoint, a.rejected, a.topic if a.topic_mode == "static" else None, a.flush_size, processingTime=a.flush_age).awaitTermination()
-    elif a.mode in ("forward", "testsvc"):
-        now = U.ms_of(datetime.now(UTC))
-        if a.mode == "forward":
-            lines = lines_in.prefixed(spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string"), a.prefix)
+        seen = metrics.Metrics().add_to(spark)
+        how = {} if a.mode_ == "durable" else {"processingTime": a.flush_age}
+        q = ingest.ingest_lines(lines, store, a.checkpoint, a.rejected, a.topic if a.topic_mode == "static" else None, a.flush_size, mode=a.mode_, **how)
+        if a.mode == "ingeststore":
+            while not q.awaitTermination(a.turn_seconds):
+                print(*store.run_once())
+        q.awaitTermination()
+        print(seen.text(), file=sys.stderr)
+    elif a.mode == "forward":
+        for n, chunk in enumerate(iter(lambda: list(itertools.islice(sys.stdin, a.chunk)), [])):
+            lines = lines_in.prefixed(spark.createDataFrame([(x.rstrip("\n"),) for x in chunk], "value string"), a.prefix)
             good, bad = (lines_in.static_topic(lines, a.topic), None) if a.topic else lines_in.dynamic_topics(lines)
-            if bad is not None and (n := bad.count()):
-                print(f"{n} lines have no topic", file=sys.stderr)
-        else:
-            good = lines_in.static_topic(lines_in.generated(spark, a.n, a.id, a.size, now, a.rate), "testsvc")
+            if bad is not None and (k := bad.count()):
+                print(f"{k} lines have no topic", file=sys.stderr)
+            now = U.ms_of(datetime.now(UTC))
+            print(f"{store.append(lines_in.with_ids(good, (now + n) % (1 << 30), now))} segments", flush=True)
+    elif a.mode == "testsvc":
+        now = U.ms_of(datetime.now(UTC))
+        good = lines_in.static_topic(lines_in.generated(spark, a.n, a.id, a.size, now, a.rate), "testsvc")
         print(f"{store.append(lines_in.with_ids(good, now % (1 << 30), now))} segments")
     else:
         if a.recover:

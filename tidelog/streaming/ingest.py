@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators import dedup, ingest
 from tidelog.operators.store import LogStore
+from tidelog.streaming.tail import remembered
 
 # When a segment is flushed.
 FLUSH_SIZE = 16 << 20
@@ -26,13 +27,15 @@ def file_lines(spark: SparkSession, folder: str, most_files: int = 1) -> DataFra
     return spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", most_files).option("latestFirst", False).text(folder)
 
 
-def ingest_lines(lines: DataFrame, store: LogStore, checkpoint: str, rejected: str, topic: str | None = None, flush_size: int = FLUSH_SIZE, now_ms=None, **trigger) -> StreamingQuery:
+def ingest_lines(lines: DataFrame, store: LogStore, checkpoint: str, rejected: str, topic: str | None = None, flush_size: int = FLUSH_SIZE, now_ms=None, mode: str = "fast", **trigger) -> StreamingQuery:
     """Write lines (value) into a store. topic: that of all lines, or None where each line has its own; bad lines go to `rejected`.
 
     A batch that is run again after a failure writes the same identifiers (time and entropy come from the checkpointed batch), and
-    readers and compaction drop what is there twice. now_ms: a function of the batch's number, for tests.
+    readers and compaction drop what is there twice. mode 'fast': a batch every FLUSH_AGE; 'durable': one as soon as there are lines, and on
+    disk before its offsets are committed. now_ms: a function of the batch's number, for tests.
     """
-    spark = lines.sparkSession
+    if mode not in ("fast", "durable"):
+        raise ValueError(mode)
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -42,32 +45,15 @@ def ingest_lines(lines: DataFrame, store: LogStore, checkpoint: str, rejected: s
                 bad.select("value", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{rejected}/batch={number:08d}")
             else:
                 good = ingest.static_topic(batch, topic)
-            at = now_ms(number) if now_ms else _time_of(spark, checkpoint, number)
-            store.append(ingest.with_ids(good, number, at), flush_size)
+            at = now_ms(number) if now_ms else remembered(checkpoint, f"time-{number:08d}", lambda: int(time.time() * 1000))
+            store.append(ingest.with_ids(good, number, at), flush_size, durable=mode == "durable")
         finally:
             batch.unpersist()
 
-    trigger = trigger or {"processingTime": FLUSH_AGE}
+    trigger = trigger or {"processingTime": FLUSH_AGE if mode == "fast" else "0 seconds"}
     return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(take).start()
 
 
-def _time_of(spark: SparkSession, checkpoint: str, number: int) -> int:
-    """The time that a batch was given at its first attempt, kept beside the checkpoint."""
-    import pyarrow.fs as pafs
-
-    fs, root = pafs.FileSystem.from_uri(checkpoint)
-    path = f"{root}/times/{number:08d}"
-    if fs.get_file_info(path).type == pafs.FileType.File:
-        with fs.open_input_stream(path) as f:
-            return int(f.read())
-    now = int(time.time() * 1000)
-    fs.create_dir(f"{root}/times", recursive=True)
-    with fs.open_output_stream(f"{path}.tmp") as f:
-        f.write(str(now).encode())
-    fs.move(f"{path}.tmp", path)
-    return now
-
-
 def deduplicated(messages: DataFrame, index: dedup.DedupIndex, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """A stream of deliveries (row_id, src, ulid, ...) with each batch's superseded rows written to out/batch=N, by one index."""
 
