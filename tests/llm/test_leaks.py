@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidelog.llm import leaks as L
-from tidelog.llm.words import words, words_with_places
+from tidelog.llm.words import runs, words, words_with_places
 
 VOCABULARY = [f"w{k}" for k in range(300)]
 
@@ -175,6 +175,11 @@ def test_pairs_of_one_seed_are_as_exact(seed, monkeypatch):
     assert got == L.find(known, docs) and got
 
 
+def test_runs():
+    texts = ["x" * n for n in (3, 4, 0, 9, 1, 1, 8, 0)]
+    assert runs(texts, 8) == [(0, 3), (3, 4), (4, 6), (6, 8)] and runs([], 8) == [] and runs(["x" * 99], 8) == [(0, 1)]
+
+
 def test_places():
     text = "The CAT's\nin\u00adter-\nval—“ab”, \ufeffx\u200by 3.5 İst É_é"
     w, places = words_with_places(text)

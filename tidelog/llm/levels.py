@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.words import words
+from tidelog.llm.words import runs, words
 
 MOST_SAMPLE_WORDS = 2_000_000
 MIN_WORDS = 100
@@ -191,7 +191,8 @@ def scored(documents: DataFrame, samples: DataFrame) -> DataFrame:
     def reading(text: pa.Array) -> pa.Array:
         rows = text.to_pylist()
         texts = [t for t in rows if t is not None]
-        known, scores = model.read(texts) if texts else ((), ())
+        parts = [model.read(texts[a:b]) for a, b in runs(texts)]
+        known, scores = (np.concatenate(x) for x in zip(*parts)) if parts else ((), ())
         got = iter([(len(t.split()), float(k), None if np.isnan(s) else float(s)) for t, k, s in zip(texts, known, scores)])
         out = [None if t is None else next(got) for t in rows]
         return pa.array([None if r is None else {"n_words": r[0], "known": r[1], "score": r[2], "level": None if r[2] is None else model.level(r[2])} for r in out], pa.struct([("n_words", pa.int64()), ("known", pa.float64()), ("score", pa.float64()), ("level", pa.int32())]))

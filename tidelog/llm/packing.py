@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.scale import shared_dir, written
+from tidelog.llm.words import runs
 
 CAPACITY = 2_048
 MOST_DOCUMENTS = 128
@@ -122,7 +123,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, most_do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(uri)
         for b in batches:
-            sizes = [len(t) for t in enc.encode_ordinary_batch(b.column("text").to_pylist(), num_threads=1)]
+            texts = b.column("text").to_pylist()
+            sizes = [len(t) for lo, hi in runs(texts) for t in enc.encode_ordinary_batch(texts[lo:hi], num_threads=1)]
             rows = [(k, at, n) for k, size in enumerate(sizes) for at, n in pieces(size, most)]
             of, at, n = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), at, n], ["doc_id", "first_token", "n_tokens"])

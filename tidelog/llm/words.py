@@ -32,3 +32,14 @@ def words_with_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
         at = [a for a, c in zip(at, text) for _ in c.lower()]
     hits = list(_WORD.finditer(low))
     return [m[0] for m in hits], [(at[m.start()], at[m.end() - 1] + 1) for m in hits]
+
+
+def runs(texts: list[str], characters: int = 4_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts of so many characters together (or one text alone), so that what is made of them at once has a bounded size."""
+    out, at, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > characters:
+            out.append((at, k))
+            at, size = k, 0
+        size += len(t)
+    return [*out, (at, len(texts))] if texts else out
