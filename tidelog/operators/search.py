@@ -85,6 +85,12 @@ def run(records: DataFrame, query: LogQuery, ordered: bool = True, extra: Column
     return d.orderBy("ulid") if ordered else d
 
 
+def page(records: DataFrame, query: LogQuery, n: int, offset: int = 0, newest_first: bool = True) -> DataFrame:
+    """n records of a search from the offset-th on, in order of identifier, the newest first (or last): an extension. Each task sends n + offset at most."""
+    d = run(records, query, ordered=False)
+    return d.orderBy(F.col("ulid").desc() if newest_first else F.col("ulid")).offset(offset).limit(n)
+
+
 def stats(index: DataFrame, query: LogQuery) -> DataFrame:
     """The statistics-only query; bounds given high end first still count segments."""
     return segments.scan_stats(index, U.low_of(query.start), U.high_of(query.stop))

@@ -48,6 +48,11 @@ def grep_id_not_matched(spark: SparkSession, folder: str) -> DataFrame:
     return event_records(spark, folder).where(F.contains("body", F.substring("ulid", 1, 10))).agg(F.count(F.lit(1)).alias("n"))
 
 
+def grep_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of twenty, newest first: extension."""
+    return search.page(event_records(spark, folder, FROM, TO), LogQuery(FROM, TO, "error"), 20, 20).select("ulid", "body")
+
+
 def render_raw(spark: SparkSession, folder: str) -> DataFrame:
     return search.render(event_records(spark, folder), "raw")
 
@@ -336,7 +341,7 @@ def stream_by_hour(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = [
-    "grep_plain_bounded", "grep_range_sargable", "grep_regex", "grep_regex_unbounded", "grep_topic", "grep_id_not_matched", "render_raw", "render_strip", "render_time",
+    "grep_plain_bounded", "grep_range_sargable", "grep_regex", "grep_regex_unbounded", "grep_topic", "grep_id_not_matched", "grep_newest", "render_raw", "render_strip", "render_time",
     "ulid_encode", "ulid_decode", "highlight", "json_post_filter", "documents_grep", "documents_regex_b", "documents_regex_i", "documents_regex_posix", "split_lines",
     "replica_merge", "replica_merge_bounded", "replica_under_replicated", "replica_stats_merge", "merge_accounting", "tail_last_wins",
     "segment_index", "segment_prune", "segment_prune_stats", "segment_range_overlap", "segment_names", "segment_bad_names", "segment_overlap_runs",
@@ -379,6 +384,7 @@ SQL = {
     "grep_regex_unbounded": f"with {REC} select ulid, body from rec where regexp_matches(body, '(?P<kind>sign|purch)\\w+ .*: 1[0-9]*')",
     "grep_topic": f"with {REC} select ulid, body from rec where starts_with(body, 'error ')",
     "grep_id_not_matched": f"with {REC} select count(*) as n from rec where contains(body, substr(ulid, 1, 10))",
+    "grep_newest": f"with {REC} select ulid, body from rec where substr(ulid, 1, 10) between '{_LO}' and '{_HI}' and contains(body, 'error') order by ulid desc limit 20 offset 20",
     "render_raw": f"with {REC} select ulid || ' ' || body as line from rec",
     "render_strip": f"with {REC} select body as line from rec",
     "render_time": f"with {REC} select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || body as line from rec",

@@ -93,6 +93,18 @@ def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
     return compact.plan(live_files(spark, folder))
 
 
+def p5_check(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on p5_plan: files that are put together, whether each is in one output, whether every output is within the target, and whether the outputs
+    are as few as the bytes of their part need, and no more than a fifth and one above."""
+    d = written(p5_plan(spark, folder), "plan")
+    of = d.groupBy("volume", "part", "output").agg(F.sum("size").alias("size"))
+    parts = of.groupBy("volume", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    few = F.col("n") <= F.ceil(F.col("size") / compact.TARGET) * 1.2 + 1
+    r = parts.agg(F.bool_and(few).alias("few")).first(), of.agg(F.bool_and(F.col("size") <= compact.TARGET).alias("fits")).first()
+    n = d.select("volume", "low", "high").distinct().count()
+    return d.agg(F.count(F.lit(1)).alias("n_files")).select("n_files", (F.col("n_files") == n).alias("once"), F.lit(r[1].fits).alias("fits"), F.lit(r[0].few).alias("few"))
+
+
 def p5_consolidated(spark: SparkSession, folder: str) -> DataFrame:
     """End to end: events in many small files of five volumes, listed, planned, rewritten, published and read again; the records of the manifest's files."""
     base = shared_dir(spark, "volumes")
@@ -208,4 +220,5 @@ SQL = {
     "p5_consolidated": f"with {REC} select ulid, body from rec",
     "p5_found": f"with {_FILES} select volume, low, high from live where size < 16777216 qualify count(*) over (partition by volume) > 1",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_entries, p4_found, p4_loaded, p5_found, p5_plan, p5_consolidated)} | {f"p4_table_{t.replace('-', '_')}": p4_table(t) for t in _LAYOUTS}
+SQL["p5_check"] = f"select count(*) as n_files, true as once, true as fits, true as few from ({SQL['p5_found']}) f"
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_entries, p4_found, p4_loaded, p5_found, p5_plan, p5_check, p5_consolidated)} | {f"p4_table_{t.replace('-', '_')}": p4_table(t) for t in _LAYOUTS}
