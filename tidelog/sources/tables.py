@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ulid as U
+from tidelog.functions.scale import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,5 +40,6 @@ def event_records(spark: SparkSession, folder: str, start: str | None = None, st
 
 def document_lines(spark: SparkSession, folder: str, containing: str = "") -> DataFrame:
     """documents as records, one a line of text: doc_id, line_no, line. containing: texts without it are left out before they are split."""
-    d = table(spark, folder, "documents").where(F.contains("text", F.lit(containing))) if containing else table(spark, folder, "documents")
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = d.where(F.contains("text", F.lit(containing))) if containing else spread(d)
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
