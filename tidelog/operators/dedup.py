@@ -277,13 +277,18 @@ def settled(rows: DataFrame, where: str = "true", what: str = "rows") -> DataFra
     folder = shared_dir(spark, "lost")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         now, held = None, []
 
         def write() -> pa.RecordBatch:
-            with fs.open_output_stream(f"{root}/{now}") as f:
+            # whole before it has its name: a second attempt of this task may still run when the list is read
+            with fs.open_output_stream(f"{root}/{now}-{attempt}") as f:
                 f.write(np.sort(np.concatenate(held)).tobytes())
+            fs.move(f"{root}/{now}-{attempt}", f"{root}/{now}")
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["part"])
 
         for b in batches:
