@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import ulid as U
 from tidelog.operators.search import LogQuery
 from tidelog.operators.store import LogStore
+from tidelog.plans import stores
 from tidelog.sources import files
 
 
@@ -99,6 +100,72 @@ def test_compaction_keeps_everything_once(store):
     assert bodies(store.query(ALL)) == before
 
 
+@pytest.mark.parametrize("target", [1, 40, 100, 333, 10**6])
+@pytest.mark.parametrize("starts", [None, [7], [0, 3, 4, 33, 50]])
+def test_files_end_at_the_target_and_before_a_start(spark, tmp_path, target, starts):
+    ids = sorted([*range(0, 40), *range(0, 40, 3)])
+    rows = [(u(k), n % 2, f"{u(k)} t {'ä' * (k % 5)} {n % 2}") for n, k in enumerate(ids)]
+    d = spark.createDataFrame(rows, "ulid string, src int, raw string").coalesce(1)
+    want, size = [], target
+    for k in range(40):
+        line = min(r for r in rows if r[0] == u(k))[2]
+        if size >= target or k in (starts or []):
+            want, size = [*want, []], 0
+        want[-1].append(line)
+        size += len(line.encode()) + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        parts = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        files.write(d, f"file://{tmp_path}", target, starts=[u(k) for k in starts] if starts else None).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = {n: open(f"{tmp_path}/{n}", newline="", encoding="utf-8").read() for n in sorted(os.listdir(tmp_path)) if n.endswith(".flushed")}
+    assert got == {f"{x[0][:26]}-{x[-1][:26]}.flushed": "".join(f"{y}\n" for y in x) for x in want}
+
+
+def test_all_that_overlaps_is_compacted_in_one_turn(store):
+    for k in range(30):
+        segment(store, [k * 10, k * 10 + 5, k * 10 + 15], body="a {}" if k % 2 else "b {}")  # a chain: each overlaps the next
+    segment(store, [1000, 1001])  # alone, between two islands that would be one file
+    segment(store, [2000, 2002])
+    segment(store, [2001, 2002])  # a pair with one record in common
+    before = bodies(store.query(ALL))
+    assert store.compact_overlapping(target=10**9) == 2
+    assert names(store) == sorted([f"{u(0)}-{u(305)}.flushed", f"{u(1000)}-{u(1001)}.flushed", f"{u(2000)}-{u(2002)}.flushed"])
+    assert bodies(store.query(ALL)) == before == [x[27:] for n in names(store) for x in lines_of(store)[n]]
+    assert store.compact_overlapping(target=10**9) == 0 and store.overlapping(2) == []
+
+
+def test_a_turn_leaves_what_it_did_not_claim(store, spark, monkeypatch):
+    segment(store, [1, 2])
+    segment(store, [2, 3])
+    segment(store, [2, 9], "reading")  # of a crash
+    put(store, "no name.reading", [(u(5), "t no")])
+    before = lines_of(store)
+    with monkeypatch.context() as m:
+        m.setattr(store, "append", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.compact_overlapping()
+    assert lines_of(store) == before
+    assert store.compact_overlapping() == 1
+    rest = {k: v for k, v in before.items() if k.endswith(".reading")}
+    assert lines_of(store) == rest | {f"{u(1)}-{u(3)}.flushed": [f"{u(k)} t {k}" for k in (1, 2, 3)]}
+
+
+def test_turns_do_not_grow_with_the_segments(spark, monkeypatch, tmp_path):
+    """The folder is listed once a turn; the last one finds nothing."""
+    listed, count = LogStore.index, []
+    monkeypatch.setattr(LogStore, "index", lambda self: count.append(1) or listed(self))
+    monkeypatch.setattr(stores, "SEGMENT_BYTES", 1 << 10)
+    events = spark.range(600).selectExpr("id as event_id", "timestamp_millis(id * 7919 % 600) as ts", "'view' as event_type", "'{}' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    d = stores.store_compact(spark, f"{tmp_path}")
+    assert len(count) <= 3
+    assert sorted((r.n, r.n_bad) for r in d.collect()) == [(1, 0)] * 600
+
+
 def test_failed_compaction_puts_back(store, monkeypatch):
     segment(store, [1, 2])
     segment(store, [3, 4])

@@ -149,6 +149,12 @@ def islands(index: DataFrame, group: list[str] | None = None) -> DataFrame:
     return d.withColumn("island", island.cast("bigint")).drop("_part", "_new", "_carry")
 
 
+def overlapping_islands(index: DataFrame, least: int = 2) -> DataFrame:
+    """index with `island`: the segments of islands that have `least` or more; all others overlap nothing (or too little)."""
+    d = islands(index)
+    return d.join(d.groupBy("island").count().where(F.col("count") >= least), "island", "left_semi")
+
+
 def first_sequential(index: DataFrame, key: str, size: str, target: int, least: int = 2) -> DataFrame:
     """The first run of segments, in order of low end, that fit the target together and are `least` or more (position, key).
 

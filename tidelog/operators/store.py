@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ulid as U
-from tidelog.functions.scale import written
+from tidelog.functions.scale import spread, written
 from tidelog.operators import search, segments
 from tidelog.operators.search import LogQuery
 from tidelog.sources import files
@@ -58,9 +58,9 @@ class LogStore:
 
     # --- writing ---
 
-    def append(self, records: DataFrame, target: int = TARGET_SIZE, durable: bool = False) -> int:
-        """Write records (ulid, raw) as new segments; how many segments. Nothing that is there is lost: see files.put_in_place."""
-        return written(files.write(records, self.folder, target, durable=durable), "segments").count()
+    def append(self, records: DataFrame, target: int = TARGET_SIZE, durable: bool = False, starts: list[str] | None = None) -> int:
+        """Write records (ulid, raw, and perhaps src) as new segments; how many segments. Nothing that is there is lost: see files.put_in_place."""
+        return written(files.write(records, self.folder, target, durable=durable, starts=starts), "segments").count()
 
     def _rename(self, path: str, state: str) -> str:
         to = f"{path.rpartition('.')[0]}.{state}"
@@ -103,6 +103,43 @@ class LogStore:
             self.fs.delete_file(p)
         return n
 
+    def compact_overlapping(self, target: int = TARGET_SIZE, least: int = 2) -> int:
+        """Merge each island of `least` or more flushed segments, all in one turn; how many segments were written. None overlap then.
+
+        It takes a number of jobs that doesn't grow with the segments, and writes each record once, where overlapping() and compact() take
+        a turn for every few segments. No output goes beyond its island. Inputs are treated as in compact(), by tasks.
+        """
+        picked = written(segments.overlapping_islands(self.index().where("state = 'flushed'"), least).select("path", "low", "island"), "overlapping")
+        starts = [r.low for r in picked.groupBy("island").agg(F.min("low").alias("low")).orderBy("low").collect()]
+        if not starts:
+            return 0
+        claimed = picked.select(F.regexp_replace("path", "\\.[^.]*$", ".reading").alias("path"))
+
+        def rename(state: str):
+            def act(fs: pafs.FileSystem, path: str) -> bool:
+                files.put_in_place(fs, path, f"{path.rpartition('.')[0]}.{state}")
+                return True
+
+            return act
+
+        def delete(fs: pafs.FileSystem, path: str) -> bool:
+            fs.delete_file(path)
+            return True
+
+        try:
+            files.per_file(spread(picked), self.folder, rename("reading"))
+            # the folder is listed once; thousands of paths would be, each by a task
+            d = self.spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.reading").text(self.folder).select("value", F.col("_metadata.file_name").alias("src"))
+            if not files.listing(self.spark, self.folder).where("endswith(path, '.reading')").join(claimed, "path", "left_anti").isEmpty():
+                # a crash left others, which are not deleted below
+                d = d.join(claimed.select(F.substring_index("path", "/", -1).alias("src")), "src", "left_semi")
+            n = self.append(files.take_apart(d).where("not bad").select("ulid", "src", "raw"), target, starts=starts)
+        except BaseException:
+            files.per_file(spread(claimed), self.folder, rename("flushed"))
+            raise
+        files.per_file(spread(claimed), self.folder, delete)
+        return n
+
     def _uri(self, path: str) -> str:
         return self.folder.rpartition(self.root)[0] + path
 

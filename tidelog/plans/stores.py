@@ -23,7 +23,7 @@ _LO, _HI = U.encode_ms(U.decode_ms(U.low_of(FROM))), U.encode_ms(U.decode_ms(U.l
 def filled(spark: SparkSession, folder: str) -> LogStore:
     """A store of all events, from three connections whose segments overlap; a fifth of the records came over two of them."""
     store = LogStore(spark, shared_dir(spark, "store"))
-    r = event_records(spark, folder).select("ulid", "raw", "event_id")
+    r = written(event_records(spark, folder).select("ulid", "raw", "event_id"), "records")  # else made for each connection, and again for its order
     for k in range(3):
         store.append(r.where((F.col("event_id") % 3 == k) | (F.col("event_id") % 15 == k)), SEGMENT_BYTES)
     return store
@@ -43,10 +43,10 @@ def store_stats_only(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_compact(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each record is in the files after turns of compaction until nothing overlaps: once."""
+    """How often each record is in the files after turns of compaction until nothing overlaps: once. A turn takes all that overlaps."""
     store = filled(spark, folder)
-    while picked := store.overlapping():
-        store.compact(picked, SEGMENT_BYTES)
+    while store.compact_overlapping(SEGMENT_BYTES):
+        pass
     return files.read(spark, store.folder).groupBy("ulid").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
 
 

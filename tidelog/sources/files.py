@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,11 +156,12 @@ def per_file(paths: DataFrame, folder: str, act: Callable[[pafs.FileSystem, str]
     return paths.select("path").mapInArrow(apply, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
-def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str = "flushed", durable: bool = False) -> DataFrame:
-    """Records (ulid, raw) as segment files of about `target` bytes; low, high, n_records and n_bytes of each file.
+def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str = "flushed", durable: bool = False, starts: list[str] | None = None) -> DataFrame:
+    """Records (ulid, raw, and perhaps src) as segment files of about `target` bytes; low, high, n_records and n_bytes of each file.
 
     Every task gets a range of identifiers and writes it in order, dropping repeats, into files that are closed by the record with
-    which they reach the target; a file is complete before it has its name (see put_in_place), and is deleted if the task fails. What
+    which they reach the target; of copies the one of the lowest src counts. starts: identifiers in order; no file goes from below one of
+    them to it or beyond. A file is complete before it has its name (see put_in_place), and is deleted if the task fails. What
     a killed task leaves ends in `.active`, which no reader takes and LogStore.recover() knows. durable: files are on disk, not only in
     the system's buffers, before they have a name (local and mounted folders; object stores and HDFS do it anyway).
     """
@@ -167,7 +171,7 @@ def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str =
 
         fs, root = pafs.FileSystem.from_uri(folder)
         temporary = f"{root}/{TaskContext.get().stageId()}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.active"
-        sink, low, last, n, size = None, "", "", 0, 0
+        sink, low, last, n, size, until = None, "", "", 0, 0, ""
 
         def close() -> pa.RecordBatch:
             sink.close()
@@ -179,14 +183,24 @@ def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str =
 
         try:
             for b in batches:
-                for u, raw in zip(b.column("ulid").to_pylist(), b.column("raw").to_pylist()):
-                    if u == last:
-                        continue
+                u = b.column("ulid")
+                new = pa.array(np.append(u[:1].to_pylist() != [last], pc.not_equal(u[1:], u[:-1]).to_numpy(zero_copy_only=False)).astype(bool)[: len(u)])
+                u, raw = u.filter(new).to_pylist(), b.column("raw").filter(new).cast(pa.large_binary())
+                # all lines one after the other in one buffer, of which each file gets a stretch
+                lines = pc.binary_join_element_wise(raw, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+                ends, text = np.append(0, np.cumsum(pc.binary_length(lines).to_numpy())), lines.buffers()[2]
+                at = 0
+                while at < len(u):
+                    if sink is not None and u[at] >= until:
+                        yield close()
+                        sink = None
                     if sink is None:
-                        sink, low, n, size = fs.open_output_stream(temporary), u, 0, 0
-                    line = raw.encode() + b"\n"
-                    sink.write(line)
-                    last, n, size = u, n + 1, size + len(line)
+                        sink, low, n, size = fs.open_output_stream(temporary), u[at], 0, 0
+                        until = begins[bisect.bisect_right(begins, low)]
+                    # up to the line that reaches the target, if `until` doesn't come before
+                    to = min(int(np.searchsorted(ends, ends[at] + max(target - size, 1))), bisect.bisect_left(u, until, at), len(u))
+                    sink.write(text[int(ends[at]) : int(ends[to])])
+                    last, n, size, at = u[to - 1], n + to - at, size + int(ends[to] - ends[at]), to
                     if size >= target:
                         yield close()
                         sink = None
@@ -200,5 +214,7 @@ def write(records: DataFrame, folder: str, target: int = 128 << 20, state: str =
 
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    d = records.where("ulid is not null and raw is not null").select("ulid", "raw").repartitionByRange("ulid").sortWithinPartitions("ulid")
+    begins = [*(starts or []), "~"]  # behind all identifiers
+    order = ["ulid", *(["src"] if "src" in records.columns else [])]
+    d = records.where("ulid is not null and raw is not null").select(*order, "raw").repartitionByRange("ulid").sortWithinPartitions(*order)
     return d.mapInArrow(apply, "low string, high string, n_records bigint, n_bytes bigint")
